@@ -24,6 +24,7 @@ from catalogspark.schema import (
 from catalogspark.session import cut
 
 NO_POLICIES = "none"  # policy set of a dataset without policies
+ALWAYS = "always"  # policy set of what every class may see
 PAIR = ["policy_set", "salt", "operands", "projection"]
 RULE = ["policy_idx", "rule_kind", "rule_idx"]
 MAX_OPERAND_SETS = 4096
@@ -73,14 +74,18 @@ class Entitlements:
     classes: DataFrame
     decisions: DataFrame
 
+    def expand(self, resources: DataFrame, *key: str) -> DataFrame:
+        """(class_key, *key) for resources given with the policy sets that open them."""
+        allowed = self.decisions.filter("visible").select("policy_set", "operands", "projection")
+        opened = resources.join(allowed, "policy_set").select(*key, "operands", "projection")
+        if resources is not self.members:
+            opened = opened.distinct()
+        found = opened.join(self.classes, ["operands", "projection"]).select("class_key", *key)
+        return found if resources is self.members else found.distinct()
+
     def visible(self) -> DataFrame:
         """(class_key, node_id, dataset_id) of everything each class may see."""
-        allowed = self.decisions.filter("visible").drop("visible")
-        return (
-            self.members.join(allowed, "policy_set")
-            .join(self.classes, ["operands", "projection"])
-            .select("class_key", "node_id", "dataset_id")
-        )
+        return self.expand(self.members, *DATASET_KEY)
 
     def count_by_class(self, *groups: str) -> DataFrame:
         """Visible datasets per class and group, counted per policy set first."""
@@ -456,16 +461,18 @@ def entitle(
 
     open_ = standalone or cfg.no_policy == "open"
     bare = F.array(
-        F.struct(
-            F.lit(NO_POLICIES).alias("policy_set"),
-            F.lit("[]").alias("operands"),
-            F.lit("[]").alias("projection"),
-            F.lit(open_).alias("visible"),
-            F.lit(OPEN_REASON).alias("reason"),
-        )
+        *[
+            F.struct(
+                F.lit(name).alias("policy_set"),
+                F.lit("[]").alias("operands"),
+                F.lit("[]").alias("projection"),
+                F.lit(seen).alias("visible"),
+                F.lit(OPEN_REASON).alias("reason"),
+            )
+            for name, seen in ((NO_POLICIES, open_), (ALWAYS, True))
+        ]
     )
-    spark = projections.sparkSession
-    none = spark.range(1).select(F.inline(bare))
+    none = projections.sparkSession.range(1).select(F.inline(bare))
     decisions = decisions.drop("salt")
     return Entitlements(
         members=sets.members,
