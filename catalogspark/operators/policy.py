@@ -27,6 +27,7 @@ NO_POLICIES = "none"  # policy set of a dataset without policies
 ALWAYS = "always"  # policy set of what every class may see
 PAIR = ["policy_set", "salt", "operands", "projection"]
 RULE = ["policy_idx", "rule_kind", "rule_idx"]
+LABELS = ["policy_id", "kind", "assigner"]  # policy fields that decide nothing
 MAX_OPERAND_SETS = 4096
 STANDALONE_OPERATORS = ["eq", "neq", "isAnyOf"]
 OPEN_REASON = "no permission rules declared on any attached policy; open by default"
@@ -108,7 +109,7 @@ def policy_rows(tables: CatalogTables) -> DataFrame:
     blank = {
         "rule_kind": F.lit(""), "rule_idx": number, "path": root, "depth": F.lit(0),
         "op": text, "left_operand": text, "operator": text, "right_operand": text,
-        "action": text, "assignee": text, "policy_id": text,
+        "action": text, "assignee": text, "policy_id": text, "kind": text, "assigner": text,
     }
 
     def rows(df: DataFrame, tag: str) -> DataFrame:
@@ -131,15 +132,15 @@ def policy_set_keys(rows: DataFrame, with_labels: bool = False) -> DataFrame:
 
     Row digests are folded in two steps, first per block of 32 neighbouring
     positions and then per dataset, so one dataset with very many rules or
-    constraints spreads over tasks. Policy ids do not change a decision and
-    are part of the key only `with_labels`.
+    constraints spreads over tasks. Labels do not change a decision and are
+    part of the key only `with_labels`.
     """
     place = F.concat(F.array("policy_idx", "rule_idx"), F.col("path"))
     step = lambda i: F.shiftright(F.greatest(i, F.lit(0)), 5).cast("string")
     block = F.regexp_replace(F.array_join(F.transform(place, step), "/"), "(/0)+$", "")
     hashed = [
         c for c in rows.columns
-        if c not in DATASET_KEY and (with_labels or c != "policy_id")
+        if c not in DATASET_KEY and (with_labels or c not in LABELS)
     ]
     fold = F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256)
     return (

@@ -7,44 +7,722 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalogspark.functions import iri
+from catalogspark.functions.odrl import candidates
 from catalogspark.operators import claims as claims_ops
-from catalogspark.operators.policy import PolicyConfig, entitle
+from catalogspark.operators import decode, encode, ingest, listing, offers, snapshot, visibility
+from catalogspark.operators import pattern as P
+from catalogspark.operators.pattern import Graph, text
+from catalogspark.operators.policy import Entitlements, PolicyConfig, entitle
+from catalogspark.schema import DCAT, DCT, NS, ODRL, RDF_TYPE, CatalogTables
+from catalogspark.session import cut
+from catalogspark.sources import participants as participant_checks_
+from catalogspark.sources import responses as R
 from catalogspark.sources import star
+from catalogspark.streaming import harvest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+# The caller of the single-caller queries, and the status queries' clock.
+SEGMENT, NATION = "BUILDING", "7"
+STATUS_AS_OF = "2024-01-31T00:00:00Z"
+MAX_AGE_SECS = 10_800
+STREAM_MAX_AGE_SECS = 20_000
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
     QUERIES[fn.__name__] = fn
     return fn
 
 
+# Policy decisions ------------------------------------------------------------
+
+
 def _segment_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One class per (segment, nation) of the customers."""
-    claims = F.create_map(
-        F.lit("segment"), F.array("c_mktsegment"),
-        F.lit("nation"), F.array(F.col("c_nationkey").cast("string")),
-    )
+    claims = F.expr("map('segment', array(c_mktsegment), 'nation', array(string(c_nationkey)))")
     return (
         star.read(spark, sf_dir, "customer")
         .select("c_mktsegment", "c_nationkey")
         .distinct()
         .select(
-            F.struct(
-                F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")
-            ).alias("class_key"),
+            F.expr("named_struct('segment', c_mktsegment, 'nation', c_nationkey)").alias(
+                "class_key"
+            ),
             claims_ops.with_context(claims, star.AS_OF).alias("claims"),
         )
     )
 
 
-def _by_class(spark, sf_dir, cfg: PolicyConfig) -> DataFrame:
-    entitled = entitle(star.tables(spark, sf_dir), _segment_classes(spark, sf_dir), cfg)
+def _by_class(spark, sf_dir, cfg: PolicyConfig, variant: str = "") -> DataFrame:
+    tables = star.tables(spark, sf_dir, variant)
+    entitled = entitle(tables, _segment_classes(spark, sf_dir), cfg)
     return entitled.count_by_class("node_id").select(
         "class_key.segment", "class_key.nation", "node_id", "n_visible"
     )
 
 
+def _one_caller(spark: SparkSession, tables: CatalogTables) -> Entitlements:
+    claims = F.expr(f"map('segment', array('{SEGMENT}'), 'nation', array('{NATION}'))")
+    classes = spark.range(1).select(
+        F.lit("caller").alias("class_key"),
+        claims_ops.with_context(claims, star.AS_OF).alias("claims"),
+    )
+    return entitle(tables, classes)
+
+
 @query
 def entitled_datasets_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_class(spark, sf_dir, PolicyConfig())
+
+
+@query
+def entitled_deny_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_class(spark, sf_dir, PolicyConfig(mode="deny_overrides"))
+
+
+@query
+def deny_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    cfg = PolicyConfig(mode="deny_overrides")
+    entitled = entitle(tables, _segment_classes(spark, sf_dir), cfg)
+    sizes = entitled.members.groupBy("policy_set").agg(F.count("*").alias("n"))
+    return (
+        sizes.join(entitled.decisions, "policy_set")
+        .groupBy("operands", "projection", "visible", "reason")
+        .agg(F.sum("n").alias("n"))
+        .join(entitled.classes, ["operands", "projection"])
+        .groupBy("class_key.segment", "class_key.nation", "visible", "reason")
+        .agg(F.sum("n").alias("n"))
+    )
+
+
+@query
+def unmappable_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_class(spark, sf_dir, PolicyConfig(unmappable="skip_constraint"))
+
+
+@query
+def unmappable_drop_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_class(spark, sf_dir, PolicyConfig(unmappable="drop_policy"))
+
+
+@query
+def unmappable_hide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_class(spark, sf_dir, PolicyConfig(strict=True))
+
+
+@query
+def no_policy_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_class(spark, sf_dir, PolicyConfig(no_policy="closed"))
+
+
+@query
+def nested_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_class(spark, sf_dir, PolicyConfig(), variant="groups")
+
+
+@query
+def ordered_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances in thousands against each policy's threshold and end date."""
+    claims = F.expr("map('segment', array(segment), 'balance', array(string(balance)))")
+    classes = (
+        star.read(spark, sf_dir, "customer")
+        .selectExpr(
+            "c_mktsegment AS segment", "bigint(floor(c_acctbal / 1000)) * 1000 AS balance"
+        )
+        .distinct()
+        .select(
+            F.struct("segment", "balance").alias("class_key"),
+            claims_ops.with_context(claims, star.AS_OF).alias("claims"),
+        )
+    )
+    entitled = entitle(star.tables(spark, sf_dir, "ordered"), classes)
+    return entitled.count_by_class().select("class_key.*", "n_visible")
+
+
+@query
+def assignee_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer is a caller; ten of them are named by policies."""
+    callers = claims_ops.map_callers(star.callers(spark, sf_dir), star.AS_OF)
+    classes = callers.select(F.col("caller_id").alias("class_key"), "claims")
+    entitled = entitle(star.tables(spark, sf_dir, "assignee"), classes)
+    return entitled.count_by_class().withColumnRenamed("class_key", "caller_id")
+
+
+# Claims ------------------------------------------------------------------------
+
+
+@query
+def claim_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = claims_ops.map_callers(star.callers(spark, sf_dir), star.AS_OF)
+    return mapped.select("caller_id", "caller_key")
+
+
+@query
+def scope_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = claims_ops.map_callers(star.callers(spark, sf_dir), star.AS_OF)
+    return (
+        mapped.select(F.explode(F.try_element_at("claims", F.lit("scope"))).alias("scope"))
+        .groupBy("scope")
+        .agg(F.count("*").alias("n"))
+    )
+
+
+@query
+def caller_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims_ops.admit(
+        star.callers(spark, sf_dir), star.AS_OF, issuer="https://issuer.example",
+        audience="catalog", required_scope="catalog",
+    )
+
+
+# Visibility ----------------------------------------------------------------------
+
+
+@query
+def visible_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    entitled = entitle(tables, _segment_classes(spark, sf_dir))
+    return (
+        visibility.visible_services(tables, entitled)
+        .groupBy("class_key.segment", "class_key.nation")
+        .agg(F.count("*").alias("n_services"))
+    )
+
+
+@query
+def hidden_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    visible = _one_caller(spark, tables).visible()
+    kept = visibility.filter_catalogs(tables, visible).services
+    every = visibility.filter_catalogs(tables, visible, keep_all_services=True).services
+    key = ["node_id", "service_id"]
+    return every.select(key).join(kept.select(key), key, "left_anti")
+
+
+@query
+def filtered_catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    shown = visibility.filter_catalogs(tables, cut(_one_caller(spark, tables).visible()))
+    out = shown.catalogs.select("node_id", "catalog_id")
+    for name in ("datasets", "distributions", "services"):
+        counts = getattr(shown, name).groupBy("node_id").agg(F.count("*").alias(f"n_{name}"))
+        out = out.join(counts, "node_id", "left")
+    return out.fillna(0)
+
+
+@query
+def allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    return visibility.allow_list(tables, _one_caller(spark, tables)).select("node_id", "iri")
+
+
+@query
+def owning_resource(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quads per resource that gates their subject."""
+    quads = encode.encode(star.tables(spark, sf_dir))
+    return (
+        quads.groupBy("s").agg(F.count("*").alias("n"))
+        .groupBy(iri.owning_resource(F.col("s")).alias("owner"))
+        .agg(F.sum("n").alias("n"))
+    )
+
+
+@query
+def visible_quad_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    allowed = cut(visibility.allow_list(tables, _one_caller(spark, tables)).select("iri"))
+    shown = visibility.visible_quads(encode.encode(tables), allowed)
+    return shown.groupBy("p").agg(F.count("*").alias("n"))
+
+
+# Quads ----------------------------------------------------------------------------
+
+
+def _catalog_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    return Graph(cut(encode.catalog_quads(star.tables(spark, sf_dir))))
+
+
+def _full_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    return Graph(cut(encode.encode(star.tables(spark, sf_dir))))
+
+
+@query
+def quad_counts_by_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quads = encode.encode(star.tables(spark, sf_dir))
+    return quads.groupBy("p", "o_kind", "o_datatype").agg(
+        F.count("*").alias("n"), F.count_distinct("s").alias("n_subjects")
+    )
+
+
+@query
+def iri_mint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = iri.node_iri(F.col("node_id"))
+    title = F.try_element_at("properties", F.lit("title"))
+    return star.datasets(spark, sf_dir).select(
+        "node_id", "dataset_id", iri.dataset_iri(base, title).alias("title_iri"),
+        iri.strip_decode(
+            iri.dataset_iri(base, title), F.concat(base, F.lit("/datasets/"))
+        ).alias("decoded"),
+    )
+
+
+@query
+def roundtrip_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = decode.decode(cut(encode.encode(star.tables(spark, sf_dir))))
+    key = ["node_id", "dataset_id"]
+    sizes = lambda df, n: df.groupBy(*key).agg(F.count("*").alias(n))
+    out = tables.datasets.select(
+        *key, "idx", F.try_element_at("properties", F.lit("title")).alias("title")
+    )
+    for df, name in (
+        (tables.distributions, "n_distributions"), (tables.policies, "n_policies"),
+        (tables.rules, "n_rules"), (tables.constraints, "n_constraints"),
+    ):
+        out = out.join(sizes(df, name), key, "left")
+    return out.fillna(0)
+
+
+@query
+def ordered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = decode.position(F.col("turn").cast("string"))
+    return (
+        star.read(spark, sf_dir, "conversations")
+        .withColumn("place", place)
+        .groupBy("conv_id")
+        .agg(
+            F.min_by("role", "place").alias("first_role"),
+            F.max_by("role", "place").alias("last_role"),
+            F.count("place").alias("n_turns"),
+        )
+    )
+
+
+# Graph patterns ---------------------------------------------------------------------
+
+
+@query
+def bgp_dataset_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _catalog_graph(spark, sf_dir).patterns(
+        ("?d", RDF_TYPE, DCAT + "Dataset"),
+        ("?d", DCAT + "distribution", "?x"),
+        ("?x", DCAT + "accessService", "?s"),
+        ("?s", DCAT + "endpointURL", "?u"),
+    )
+    counted = found.group_by("u", n=P.count_all())
+    return counted.df.select(P.str_("u").alias("u"), P.number("n").cast("bigint").alias("n"))
+
+
+@query
+def optional_policy_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _full_graph(spark, sf_dir)
+    found = graph.match("?d", RDF_TYPE, DCAT + "Dataset").optional(
+        graph.match("?d", ODRL + "hasPolicy", "?x")
+    )
+    counted = found.group_by("d", n=P.count("x"))
+    return counted.df.select(P.str_("d").alias("d"), P.number("n").cast("bigint").alias("n"))
+
+
+@query
+def union_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _catalog_graph(spark, sf_dir)
+    found = graph.match("?s", DCT + "format", "?f").union(
+        graph.match("?s", DCAT + "endpointDescription", "?e")
+    )
+    return found.df.groupBy(P.str_("f").alias("f"), P.str_("e").alias("e")).agg(
+        F.count("*").alias("n")
+    )
+
+
+@query
+def minus_no_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _full_graph(spark, sf_dir)
+    return (
+        graph.match("?d", RDF_TYPE, DCAT + "Dataset")
+        .minus(graph.match("?d", ODRL + "hasPolicy", "?x"))
+        .values_of("d")
+    )
+
+
+@query
+def filter_strstarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _catalog_graph(spark, sf_dir).match("?s", DCAT + "endpointURL", "?u")
+    kept = found.filter(
+        P.str_starts("u", "https://supplier-1")
+        & (F.col("u") != P.constant("https://supplier-1.example/0"))
+    )
+    return kept.values_of("s", "u")
+
+
+@query
+def values_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _catalog_graph(spark, sf_dir)
+    found = graph.match("?x", DCT + "format", "?f").values(["f"], [(text("AF"),), (text("NO"),)])
+    return found.df.groupBy(P.str_("f").alias("f")).agg(F.count("*").alias("n"))
+
+
+@query
+def path_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _catalog_graph(spark, sf_dir).path(
+        "?c", ("/", DCAT + "dataset", DCAT + "distribution"), "?x"
+    )
+    return found.df.groupBy(P.str_("c").alias("c")).agg(F.count("*").alias("n"))
+
+
+@query
+def path_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = Graph(star.place_quads(spark, sf_dir))
+    return graph.closure("?s", "urn:partOf", "?o").values_of("s", "o")
+
+
+@query
+def graph_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _catalog_graph(spark, sf_dir)
+    per_graph = graph.match("?s", RDF_TYPE, DCAT + "Dataset", g="?g")
+    return per_graph.df.groupBy(P.str_("g").alias("g")).agg(F.count("*").alias("n"))
+
+
+@query
+def named_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _catalog_graph(spark, sf_dir).graphs("?g").values_of("g")
+
+
+@query
+def from_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = lambda k: f"{NS.nodes}nation-{k}"
+    chosen = _catalog_graph(spark, sf_dir).over(default=[node(3), node(5)], named=[node(4)])
+    in_default = chosen.match("?x", DCT + "format", "?f").bind(
+        "side", P.constant(text("default"))
+    )
+    in_named = chosen.match("?x", DCT + "format", "?f", g="?g").bind(
+        "side", P.constant(text("named"))
+    )
+    found = in_default.union(in_named.select("x", "f", "side"))
+    return found.df.groupBy(P.str_("side").alias("side"), P.str_("f").alias("f")).agg(
+        F.count("*").alias("n")
+    )
+
+
+@query
+def distinct_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _catalog_graph(spark, sf_dir).match("?x", DCT + "format", "?f")
+    return found.select("f").distinct().values_of("f")
+
+
+def _titles(graph: Graph) -> P.Solutions:
+    return graph.match("?d", NS.property_prefix + "title", "?t")
+
+
+@query
+def order_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _titles(_catalog_graph(spark, sf_dir))
+    page = found.order_by(P.order_key("t"), P.order_key("d").desc()).slice(10, 25)
+    return page.values_of("d", "t")
+
+
+@query
+def bind_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = _titles(_catalog_graph(spark, sf_dir))
+    loud = titles.bind("u", P.literal_term(F.upper(P.str_("t"))))
+    big = loud.group_by("u", n=P.count_all()).filter(P.number("n") > 500)
+    return big.df.select(P.str_("u").alias("u"), P.number("n").cast("bigint").alias("n"))
+
+
+@query
+def exists_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _full_graph(spark, sf_dir)
+    datasets = graph.match("?d", RDF_TYPE, DCAT + "Dataset", g="?g")
+    policies = graph.match("?d", ODRL + "hasPolicy", "?x")
+    split = datasets.exists(policies).bind("has", P.constant(text("yes"))).union(
+        datasets.not_exists(policies).bind("has", P.constant(text("no")))
+    )
+    return split.df.groupBy(P.str_("g").alias("g"), P.str_("has").alias("has")).agg(
+        F.count("*").alias("n")
+    )
+
+
+@query
+def literal_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _catalog_graph(spark, sf_dir)
+    found = graph.patterns(
+        ("?d", NS.property_prefix + "title", "?t"), ("?d", NS.sequence_index, "?i")
+    )
+    grouped = found.group_by(
+        "t", total=P.sum_("i"), low=P.min_("i"), high=P.max_("i"), mean=P.avg("i"),
+        kinds=P.count("i", distinct=True), some=P.sample("t"),
+    )
+    whole = lambda v: P.number(v).cast("bigint").alias(v)
+    return grouped.df.select(
+        P.str_("t").alias("t"), whole("total"), whole("low"), whole("high"), whole("kinds"),
+        F.round(P.number("mean"), 3).alias("mean"), P.str_("some").alias("some"),
+    )
+
+
+@query
+def term_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _catalog_graph(spark, sf_dir).match("?s", "?p", "?o")
+    tested = (
+        found.bind("iri", P.literal_term(P.is_iri("o")))
+        .bind("kind", P.literal_term(F.coalesce(P.datatype("o"), F.lit("none"))))
+        .bind("red", P.literal_term(F.coalesce(P.regex("o", "^RED ", "i"), F.lit(False))))
+        .bind("at", P.literal_term(P.contains("o", "/distributions/")))
+    )
+    names = ["p", "iri", "kind", "red", "at"]
+    return tested.df.groupBy(*[P.str_(n).alias(n) for n in names]).agg(F.count("*").alias("n"))
+
+
+@query
+def ask_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _catalog_graph(spark, sf_dir)
+    answers = (
+        graph.match("?d", RDF_TYPE, DCAT + "Dataset").ask(),
+        graph.match("?d", RDF_TYPE, DCAT + "Nothing").ask(),
+    )
+    return spark.range(1).select(
+        F.lit(answers[0]).alias("any_dataset"), F.lit(answers[1]).alias("any_nothing")
+    )
+
+
+@query
+def row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _catalog_graph(spark, sf_dir)
+    catalogs = graph.match("?c", RDF_TYPE, DCAT + "Catalog").capped(25).values_of("c")
+    try:
+        graph.match("?d", RDF_TYPE, DCAT + "Dataset").capped(25)
+        refused = False
+    except P.TooManyRows:
+        refused = True
+    return catalogs.withColumn("larger_refused", F.lit(refused))
+
+
+# Listing and offers ---------------------------------------------------------------
+
+
+@query
+def catalog_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = listing.list_catalogs(star.catalogs(spark, sf_dir), offset=5, limit=12)
+    return page.select("catalog_id", "node_id", "participant_id")
+
+
+@query
+def offer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    return offers.dataset_offers(tables).join(offers.offer_headers(tables), "node_id").select(
+        "node_id", "dataset_id", "name", "contenttype", "title", "version",
+        F.col("creator.name").alias("creator"),
+        F.col("creator.thumbnail.resource").alias("creator_thumbnail"),
+        F.col("thumbnail.resource").alias("thumbnail"),
+        F.array_join("keywords", "|").alias("keywords"),
+        "originator", "service_id", "endpoint_url", "endpoint_description",
+    )
+
+
+@query
+def keyword_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = candidates(F.try_element_at("properties", F.lit("keywords")))
+    return (
+        star.datasets(spark, sf_dir).select(F.explode(words).alias("keyword"))
+        .groupBy("keyword").agg(F.count("*").alias("n"))
+    )
+
+
+@query
+def policy_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = offers.policy_texts(star.tables(spark, sf_dir, "groups"))
+    return texts.groupBy("has_policy").agg(F.count("*").alias("n"))
+
+
+@query
+def offer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The served JSON, read back: datasets and policies per offer page."""
+    doc = F.try_parse_json("offer")
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    datasets = get(doc, f'$["{DCAT}dataset"]', "array<variant>")
+    policies = F.transform(
+        datasets, lambda d: F.size(get(d, f'$["{ODRL}hasPolicy"]', "array<variant>"))
+    )
+    return offers.offers(star.tables(spark, sf_dir), page_size=500).select(
+        "node_id", "page",
+        get(doc, "$.originator", "string").alias("originator"),
+        get(doc, f'$["{DCAT}service"]["@id"]', "string").alias("service_id"),
+        F.size(datasets).cast("bigint").alias("n_datasets"),
+        F.aggregate(policies, F.lit(0), lambda a, b: a + b).cast("bigint").alias("n_policies"),
+    )
+
+
+@query
+def offers_by_dataset_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    body = '{"filterExpression":[{"operandLeft":"datasets.id","operator":"=","operandRight":"part-42"}]}'
+    wanted = offers.requested_dataset(body)
+    shown = visibility.filter_catalogs(
+        tables, _one_caller(spark, tables).visible(), keep_all_services=True
+    )
+    return offers.catalogs_with_dataset(shown, wanted)
+
+
+# Ingest ---------------------------------------------------------------------------
+
+
+def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = R.check_responses(star.responses(spark, sf_dir))
+    return cut(R.latest_good(checked))
+
+
+@query
+def response_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = R.check_responses(star.responses(spark, sf_dir))
+    return checked.filter("error is not null").select("node_id", "error")
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> CatalogTables:
+    landed = _accepted(spark, sf_dir)
+    return ingest.parse(landed, star.response_participants(landed))
+
+
+@query
+def parsed_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _parsed(spark, sf_dir)
+    prop = lambda k: F.try_element_at("properties", F.lit(k)).alias(k)
+    return tables.datasets.select(
+        "node_id", "dataset_id", "idx", prop("title"), prop("version"), prop("keywords"),
+        prop("creatorName"),
+    )
+
+
+@query
+def parsed_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _parsed(spark, sf_dir)
+    uses = tables.distributions.groupBy(
+        "node_id", F.col("access_service").alias("service_id"), "format"
+    ).agg(F.count("*").alias("n_uses"))
+    return tables.services.join(uses, ["node_id", "service_id"]).select(
+        "node_id", "service_id", "endpoint_url", "format", "n_uses"
+    )
+
+
+@query
+def parsed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    landed = _accepted(spark, sf_dir)
+    heads = ingest.catalog_headers(landed, star.response_participants(landed))
+    return heads.select("node_id", "catalog_id", "participant_id", "declared", "mismatch")
+
+
+@query
+def nested_federation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = ingest.catalog_documents(_accepted(spark, sf_dir))
+    found = documents.select(
+        F.size("at").alias("level"), F.size(F.expr("doc:dataset::array<variant>")).alias("n")
+    )
+    return found.groupBy("level").agg(
+        F.count("*").alias("n_catalogs"), F.sum("n").alias("n_datasets")
+    )
+
+
+@query
+def parsed_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).policies.select(
+        "node_id", "dataset_id", "policy_idx", "policy_id", "kind", "assignee"
+    )
+
+
+@query
+def alias_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules found under all key spellings, actions normalised."""
+    return _parsed(spark, sf_dir).rules
+
+
+@query
+def scalar_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parsed(spark, sf_dir).constraints
+    return rows.withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/"))
+
+
+@query
+def participant_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return participant_checks_.check_participants(star.participants(spark, sf_dir))
+
+
+# Snapshots ------------------------------------------------------------------------
+
+
+@query
+def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = R.check_responses(star.event_responses(spark, sf_dir))
+    return R.latest_good(checked).select("node_id", "cycle_id", "body")
+
+
+@query
+def cycle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = snapshot.cycle_summary(star.crawl_log(spark, sf_dir))
+    return summary.select(
+        "cycle_id", "attempted", "succeeded", "failed",
+        F.unix_micros("last_finished").alias("last_finished"),
+    )
+
+
+@query
+def expired_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = star.crawl_log(spark, sf_dir)
+    gone = snapshot.expired_nodes(log, STATUS_AS_OF, MAX_AGE_SECS)
+    return gone.select("node_id", F.unix_micros("last_success").alias("last_success"))
+
+
+@query
+def participant_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = snapshot.participant_status(
+        star.participants(spark, sf_dir), star.crawl_log(spark, sf_dir), STATUS_AS_OF, MAX_AGE_SECS
+    )
+    return status.select(
+        "node_id", snapshot.rfc3339(F.col("last_attempt")).alias("last_attempt"),
+        snapshot.rfc3339(F.col("last_success")).alias("last_success"),
+        "last_error", "cached", "catalog_age_secs",
+    )
+
+
+@query
+def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.readiness(star.crawl_log(spark, sf_dir))
+
+
+@query
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quads of what shipped with line status F against what shipped with O."""
+
+    def quads(status: str) -> DataFrame:
+        held = star.offers(spark, sf_dir).filter(F.col("l_linestatus") == status)
+        row = held.selectExpr(
+            f"'{NS.nodes}nation-' || s_nationkey AS graph",
+            f"'{NS.nodes}nation-' || s_nationkey || '/datasets/part-' || l_partkey AS s",
+            f"'{DCT}format' AS p", "l_returnflag AS o", "'literal' AS o_kind",
+            "'' AS o_datatype", "'' AS o_lang",
+        )
+        return row.distinct()
+
+    return snapshot.diff_quads(quads("F"), quads("O")).select("graph", "s", "o", "change")
+
+
+@query
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers expected to order against customers seen ordering."""
+    orders = spark.read.schema("o_custkey BIGINT").parquet(f"{sf_dir}/orders.parquet")
+    seen = orders.selectExpr("'customer-' || o_custkey AS dataset_id")
+    due = star.read(spark, sf_dir, "customer").selectExpr("'customer-' || c_custkey AS dataset_id")
+    return snapshot.completeness(seen, due)
+
+
+# Streams --------------------------------------------------------------------------
+
+
+@query
+def stream_cycle_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harvest.run_to_table(
+        harvest.cycle_health(harvest.event_log_stream(spark, sf_dir), "1 hour", "10 minutes")
+    )
+
+
+@query
+def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = harvest.event_log_stream(spark, sf_dir)
+    return harvest.run_to_table(harvest.expiries(log, STREAM_MAX_AGE_SECS), state="rocksdb")

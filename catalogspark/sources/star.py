@@ -158,13 +158,23 @@ def part_rules(variant: str = "") -> str:
     use to three nations. Policy 1 (when p_size % 3 = 0) permits use to exactly
     one of segment X or nation p_partkey % 5. `variant` adds to policy 0:
     'assignee' scopes it to ten customers, 'ordered' asks for a balance and a
-    date.
+    date; 'groups' asks for nested logical groups instead.
     """
     first = [
         _constraint("0", "atomic", "'segment'", "'eq'", SEGMENT),
         f"""IF(p_brand = 'Brand#13', {_constraint("1", "atomic", "'segment'", "'bogus'", "'x'")},
             NULL)""",
     ]
+    if variant == "groups":
+        first = [
+            _constraint("0", "or"),
+            _constraint("0, 0", "and"),
+            _constraint("0, 0, 0", "atomic", "'segment'", "'eq'", SEGMENT),
+            _constraint("0, 0, 1", "atomic", "'nation'", "'isNoneOf'", "'1,2 , 3'"),
+            _constraint("0, 1", "andSequence"),
+            _constraint("0, 1, 0", "atomic", "'nation'", "'eq'", "p_partkey % 25"),
+            _constraint("0, 2", "xone"),
+        ]
     if variant == "ordered":
         until = "IF(p_size % 2 = 0, '2027-01-01T00:00:00Z', '2026-01-01T01:00:00+02:00')"
         first += [
@@ -264,3 +274,103 @@ def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "IF(event_type = 'error', 'crawl failed: ' || props, NULL) AS error",
         "bigint(value * 10) AS duration_ms",
     )
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog documents rendered from the line items: one participant per
+    supplier and block of 64 parts, so a document has at most 64 datasets of
+    six distributions. Some arrive broken, late or with an error status.
+
+    Each document lists its even parts directly and its odd parts in a nested
+    catalog; keys use all three spellings and several JSON-LD shapes.
+    """
+    held = (
+        read(spark, sf_dir, "lineitem")
+        .groupBy("l_suppkey", "l_partkey")
+        .agg(
+            F.expr("sort_array(collect_set(l_returnflag || l_linestatus))").alias("formats")
+        )
+    )
+    part = read(spark, sf_dir, "part")
+    policy = """named_struct(
+        '@id', IF(p_size % 2 = 0, 'urn:policy:' || p_size, NULL),
+        '@type', IF(p_size % 3 = 0, 'Offer', 'Contract'),
+        'assignee', IF(p_size % 7 = 0, p_brand, NULL),
+        'permission', IF(p_size % 2 = 0, array(named_struct('action', 'use', 'constraint', array(
+            named_struct('leftOperand', 'size', 'operator', 'lteq', 'rightOperand',
+                named_struct('@value', double(p_size)))))), NULL),
+        'odrl:permission', IF(p_size % 3 = 0, named_struct('action', 'odrl:read'), NULL),
+        'http://www.w3.org/ns/odrl/2/prohibition', IF(p_type = 'PROMO', named_struct('action',
+            'http://www.w3.org/ns/odrl/2/use', 'constraint',
+            named_struct('xone', array(
+                named_struct('leftOperand', 'brand', 'operator', 'eq', 'rightOperand', p_brand),
+                named_struct('leftOperand', 'size', 'operator', 'eq',
+                             'rightOperand', string(NULL))))), NULL))"""
+    item = f"""named_struct(
+        '@id', IF(p_partkey % 2 = 0, 'part-' || p_partkey, NULL),
+        'id', IF(p_partkey % 2 = 1, 'part-' || p_partkey, NULL),
+        'title', p_name, 'version', string(p_size), 'keywords', replace(p_name, ' ', ', '),
+        'creatorName', IF(p_size % 2 = 0, p_brand, NULL),
+        'distribution', transform(formats, f -> named_struct('format', f,
+            'accessService', named_struct('@id', 'supplier-' || l_suppkey || '-' || f,
+                                          'endpointURL', 'https://s.example/' || f))),
+        'hasPolicy', IF(p_partkey % 4 = 0, {policy}, NULL),
+        'odrl:hasPolicy', IF(p_partkey % 4 = 1, named_struct('@list', array({policy})), NULL))"""
+    in_order = "transform(array_sort(collect_list({})), x -> x.item)"
+    of = "IF(l_partkey % 2 = {}, named_struct('k', l_partkey, 'item', item), NULL)"
+    docs = (
+        held.join(part, F.expr("l_partkey = p_partkey"))
+        .selectExpr("l_suppkey", "l_partkey", "l_partkey div 64 AS block", f"{item} AS item")
+        .groupBy("l_suppkey", "block")
+        .agg(
+            F.expr(in_order.format(of.format(0))).alias("own"),
+            F.expr(in_order.format(of.format(1))).alias("nested"),
+        )
+    )
+    body = """to_json(named_struct(
+        '@id', 'catalog-' || l_suppkey, 'participantId', 'did:web:s' || l_suppkey % 3,
+        'dataset', own, 'catalog', array(named_struct('dataset', nested))))"""
+    return docs.selectExpr(
+        "'s' || l_suppkey || '-b' || block AS node_id",
+        "bigint(1) AS cycle_id",
+        "timestamp '2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, int(block), 0)"
+        " AS fetched_at",
+        "IF(l_suppkey % 20 = 7, 503, 200) AS http_status",
+        "bigint(IF(block % 9 = 8, 60000, 20)) AS duration_ms",
+        f"IF(l_suppkey % 20 = 11, substr({body}, 1, 40), {body}) AS body",
+    )
+
+
+def response_participants(documents: DataFrame) -> DataFrame:
+    return documents.selectExpr(
+        "node_id", "node_id AS name", "'https://' || node_id AS catalog_request_url",
+        "'none' AS credential_protocol", "IF(node_id LIKE 's1%', 'did:web:s1', NULL) AS provider_did",
+        "string(NULL) AS response_uri",
+    ).distinct()
+
+
+def event_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small response per event, errors with status 500."""
+    return read(spark, sf_dir, "events").selectExpr(
+        "'nation-' || user_id % 25 AS node_id",
+        "event_id AS cycle_id",
+        "timestamp(ts) AS fetched_at",
+        "IF(event_type = 'error', 500, 200) AS http_status",
+        "bigint(value * 10) AS duration_ms",
+        "props AS body",
+    )
+
+
+def place_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """partOf edges: line items' suppliers in nations, nations in regions."""
+    edge = lambda s, o: (
+        "'urn:places' AS graph", f"{s} AS s", "'urn:partOf' AS p", f"{o} AS o",
+        "'iri' AS o_kind", "'' AS o_datatype", "'' AS o_lang",
+    )
+    supplier = read(spark, sf_dir, "supplier").selectExpr(
+        *edge("'urn:supplier:' || s_suppkey", "'urn:nation:' || s_nationkey")
+    )
+    nation = read(spark, sf_dir, "nation").selectExpr(
+        *edge("'urn:nation:' || n_nationkey", "'urn:region:' || n_regionkey")
+    )
+    return supplier.unionByName(nation)
