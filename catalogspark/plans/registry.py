@@ -554,7 +554,7 @@ def offer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def offers_by_dataset_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = star.tables(spark, sf_dir)
-    body = '{"filterExpression":[{"operandLeft":"datasets.id","operator":"=","operandRight":"part-42"}]}'
+    body = '{"filterExpression":[{"operandLeft":"datasets.id","operator":"=","operandRight":"part-41"}]}'
     wanted = offers.requested_dataset(body)
     shown = visibility.filter_catalogs(
         tables, _one_caller(spark, tables).visible(), keep_all_services=True
@@ -705,9 +705,8 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers expected to order against customers seen ordering."""
-    orders = spark.read.schema("o_custkey BIGINT").parquet(f"{sf_dir}/orders.parquet")
-    seen = orders.selectExpr("'customer-' || o_custkey AS dataset_id")
+    """Customers expected to be active against users seen in the events."""
+    seen = star.read(spark, sf_dir, "events").selectExpr("'customer-' || user_id AS dataset_id")
     due = star.read(spark, sf_dir, "customer").selectExpr("'customer-' || c_custkey AS dataset_id")
     return snapshot.completeness(seen, due)
 

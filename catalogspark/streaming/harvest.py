@@ -17,7 +17,6 @@ from catalogspark.session import checkpoint_root
 from catalogspark.sources import responses as R
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-BUCKETS = 64
 
 
 # Ingest ------------------------------------------------------------------------
@@ -41,8 +40,8 @@ def upsert_batch(
     """A foreachBatch function: the newest good response of each node replaces
     all of that node's rows; failed responses change nothing.
 
-    Tables are partitioned by node bucket and a batch rewrites only the buckets
-    it touches, from the version before it, so a repeated batch writes the same.
+    A batch writes its nodes' rows as one version and readers take each node's
+    newest version, so a batch that is run again writes the same files.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -51,11 +50,8 @@ def upsert_batch(
         fresh = ingest.parse(R.latest_good(checked), participants, ns)
         arrived = fresh.catalogs.select("node_id").distinct()
         for name, df in vars(fresh).items():
-            target = f"{path}/{name}"
-            rows = df.withColumn("version", F.lit(batch_id).cast("bigint"))
-            rows.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
-        marks = arrived.withColumn("version", F.lit(batch_id).cast("bigint"))
-        marks.write.mode("overwrite").parquet(f"{path}/arrivals/batch={batch_id}")
+            df.write.mode("overwrite").parquet(f"{path}/{name}/version={batch_id}")
+        arrived.write.mode("overwrite").parquet(f"{path}/arrivals/version={batch_id}")
         if after is not None:
             after(read_current(spark, path), batch_id)
 

@@ -51,6 +51,8 @@ def compare(spark, con, name: str, sf_dir: str):
 def main(argv) -> int:
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or list(entry.queries())
+    if argv[1:2] == ["--sql"]:
+        names = [n for n in entry.oracle_sql()]
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
     con = connect(sf_dir)
     bad = 0
