@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,13 +77,17 @@ def owning_resource(iri: Column, ns: Namespace = NS) -> Column:
     Anything under a node that is neither a catalog nor a dataset or service
     path owns itself, so no allow-list can open it.
     """
-    base = re.escape(ns.nodes)
+    rest = F.substr(iri, F.lit(len(ns.nodes) + 1))
+    kind = F.split_part(rest, F.lit("/"), F.lit(2))
+    head = F.substring_index(rest, "/", 2)  # node/kind
+    deeper = F.length(head) < F.length(rest)
+    none = F.lit(None).cast("string")
     return (
-        F.when(~iri.rlike(f"^{base}[^/]*/"), F.lit(None).cast("string"))
-        .when(iri.rlike(f"^{base}[^/]*/catalogs(/|$)"), F.lit(None).cast("string"))
+        F.when(~F.startswith(iri, F.lit(ns.nodes)), none)
+        .when(~F.contains(rest, F.lit("/")) | (kind == "catalogs"), none)
         .when(
-            iri.rlike(f"^{base}[^/]*/(datasets|services)/"),
-            F.regexp_extract(iri, f"^({base}[^/]*/(?:datasets|services)/[^/]*)", 1),
+            kind.isin("datasets", "services") & deeper,
+            F.concat(F.lit(ns.nodes), F.substring_index(rest, "/", 3)),
         )
         .otherwise(iri)
     )

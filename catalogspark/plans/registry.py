@@ -583,9 +583,10 @@ def _parsed(spark: SparkSession, sf_dir: str) -> CatalogTables:
 
 @query
 def parsed_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = _parsed(spark, sf_dir)
+    documents = ingest.catalog_documents(_accepted(spark, sf_dir))
+    found = ingest.datasets(ingest.dataset_documents(documents))
     prop = lambda k: F.try_element_at("properties", F.lit(k)).alias(k)
-    return tables.datasets.select(
+    return found.select(
         "node_id", "dataset_id", "idx", prop("title"), prop("version"), prop("keywords"),
         prop("creatorName"),
     )
@@ -593,11 +594,12 @@ def parsed_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def parsed_services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = _parsed(spark, sf_dir)
-    uses = tables.distributions.groupBy(
+    documents = ingest.catalog_documents(_accepted(spark, sf_dir))
+    parts = ingest.distribution_documents(cut(ingest.dataset_documents(documents)))
+    uses = ingest.distributions(parts).groupBy(
         "node_id", F.col("access_service").alias("service_id"), "format"
     ).agg(F.count("*").alias("n_uses"))
-    return tables.services.join(uses, ["node_id", "service_id"]).select(
+    return ingest.services(documents, parts).join(uses, ["node_id", "service_id"]).select(
         "node_id", "service_id", "endpoint_url", "format", "n_uses"
     )
 
