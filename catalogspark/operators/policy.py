@@ -39,14 +39,15 @@ class PolicyConfig:
     `no_policy`: open or closed. `strict`: an unmappable policy hides the
     dataset even when an earlier policy allows it. `mode`: `broker`
     (alternative policies in order) or `deny_overrides` (all rules flattened).
-    `salts` splits the rules of one policy set over that many tasks."""
+    `salts` spreads one operand list and one policy set over that many tasks; by
+    default the session's shuffle partitions, at most 64."""
 
     action: str = "use"
     unmappable: str = "hide_dataset"
     no_policy: str = "open"
     strict: bool = False
     mode: str = "broker"
-    salts: int = 4
+    salts: int | None = None
 
     def __post_init__(self) -> None:
         if self.unmappable not in ("skip_constraint", "drop_policy", "hide_dataset"):
@@ -454,10 +455,12 @@ def entitle(
     `classes`: (class_key, claims MAP<STRING, ARRAY<STRING>>), one row per class.
     """
     standalone = cfg.mode == "deny_overrides"
+    shuffles = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = cfg.salts or min(shuffles, 64)
     sets = policy_sets(tables, with_labels=standalone)
     content = _map_content(sets, cfg)
     per_set, projections = _project(classes, content)
-    rules = _rules(content, _pairs(per_set, projections, cfg.salts), cfg.salts)
+    rules = _rules(content, _pairs(per_set, projections, salts), salts)
     decisions = _deny_overrides(rules, sets.content) if standalone else _broker(rules, cfg)
 
     open_ = standalone or cfg.no_policy == "open"
