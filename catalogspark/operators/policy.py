@@ -18,7 +18,6 @@ from catalogspark.functions import odrl
 from catalogspark.schema import (
     DATASET_KEY,
     MAX_CONSTRAINT_DEPTH,
-    OPERATORS,
     CatalogTables,
 )
 from catalogspark.session import cut
@@ -484,5 +483,3 @@ def entitle(
         decisions=decisions.unionByName(none.select(decisions.columns)),
     )
 
-
-assert set(STANDALONE_OPERATORS) <= set(OPERATORS)

@@ -78,8 +78,7 @@ shown_servs AS (SELECT v.*, coalesce(u.seen, true) AS seen
 
 # Quads ------------------------------------------------------------------------
 
-N, TERMS = NS.nodes, NS.terms
-IRI_RE = "^[A-Za-z][A-Za-z0-9+.-]*:[^ <>\"{}|\\\\^`]*$"
+N = NS.nodes
 
 
 def _iri(s: str, p: str, o: str, source: str) -> str:

@@ -10,7 +10,7 @@ from catalogspark.operators import encode, visibility
 from catalogspark.operators import pattern as P
 from catalogspark.operators.pattern import Graph, Solutions, text
 from catalogspark.operators.policy import entitle
-from catalogspark.schema import DCAT, DCT, NS, ODRL, QUADS, RDF_TYPE, XSD_INTEGER
+from catalogspark.schema import DCAT, NS, QUADS, RDF_TYPE, XSD_INTEGER
 from catalogspark.session import cut
 from catalogspark.sources import quads as Q
 from catalogspark.sources import sinks
@@ -243,5 +243,3 @@ def test_quads_on_disk(spark, quads, tmp_path):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(graph_bucket" in plan
 
-
-assert DCT and ODRL

@@ -7,7 +7,6 @@ import pytest
 
 from catalogspark import schema as S
 from catalogspark.operators import listing, offers, snapshot
-from catalogspark.session import cut
 from catalogspark.sources import participants as PC
 from catalogspark.sources import responses as R
 from catalogspark.streaming import harvest
@@ -182,5 +181,3 @@ def test_live_status_matches_batch(spark, log, tmp_path):
     got = {r.node_id: r.last_error for r in spark.table("live").collect()}
     assert got == {"a": None, "b": "e2", "c": "never"}
 
-
-assert cut
