@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from catalogspark.llm import counts
+from catalogspark.llm import counts, decontaminate, language, licenses, lines, ngrams, packing, topk, urls, wavelet
 
 QUERIES = {
+    "op1_wavelet_matrix": wavelet.op1_wavelet_matrix,
+    "op2_grouped_prefix_join": ngrams.op2_grouped_prefix_join,
+    "op3_naive_bayes": language.op3_naive_bayes,
+    "op4_hilbert_order": packing.op4_hilbert_order,
+    "op5_prefix_filtered_join": decontaminate.op5_prefix_filtered_join,
+    "op6_pivot_distance": topk.op6_pivot_distance,
+    "op7_host_segmentation": urls.op7_host_segmentation,
+    "op8_fuzzy_notices": licenses.op8_fuzzy_notices,
+    "op9_line_templates": lines.op9_line_templates,
     "op10_digest_cache": counts.op10_digest_cache,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_grouped_prefix_join": ngrams.OP2_SQL,
+    "op5_prefix_filtered_join": decontaminate.OP5_SQL,
+    "op6_pivot_distance": topk.OP6_SQL,
+    "op9_line_templates": lines.OP9_SQL,
+}
