@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.llm.encode import encoder, tokenizer_path
-from catalogspark.llm.frames import new_path, slices, table
+from catalogspark.llm.frames import new_path, slices, table, texts
 from catalogspark.session import cut
 
 CACHE = "digest binary, n_tokens long, version string"
@@ -81,15 +81,16 @@ def count_tokens(
     )
     normal = _normal(F.col("text"), path)
     digest = F.unhex(F.sha2(normal, 256)).alias("digest")
+    docs = texts(docs)
     keyed = cut(docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), digest))
     missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(stored, "digest", "left_anti")
     wanted = missing.select(F.col("digest").alias("d"), F.col("doc_id").alias("i")).hint("shuffle_hash")
-    texts = (
+    chosen = (
         docs.select("doc_id", digest, normal.alias("text"))
         .join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
         .select("digest", "text")
     )
-    new = texts.mapInArrow(_encode_batches(path), "digest binary, n_tokens long")
+    new = chosen.mapInArrow(_encode_batches(path), "digest binary, n_tokens long")
     new.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
     spark.catalog.refreshByPath(cache)
     stored = (

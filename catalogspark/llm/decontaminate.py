@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.llm.frames import slices, table
+from catalogspark.llm.frames import slices, table, texts
 from catalogspark.llm.shingles import MARKS, Words, runs
 from catalogspark.session import cut
 
@@ -121,7 +121,7 @@ def contamination(
     Other columns are ignored. No items: nothing is hit.
     """
     context = docs.sparkSession.sparkContext
-    docs = docs.select("doc_id", "text")
+    docs = texts(docs)
     key = dict(items.dtypes)["item_id"]
     windows = cut(
         items.select("item_id", "text").mapInArrow(

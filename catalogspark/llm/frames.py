@@ -7,7 +7,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catalogspark.session import checkpoint_root
 
@@ -24,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) alone, whatever other columns there are."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def whole(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name meets those of an operator."""
+    return F.struct(*[docs[f"`{c.replace('`', '``')}`"] for c in docs.columns])
+
+
 def spread(spark: SparkSession) -> int:
     """Partitions for data dealt anew: as many as the session shuffles to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from catalogspark.llm.frames import slices, table
+from catalogspark.llm.frames import slices, table, texts
 
 #: Buckets of hashed n-grams, and the lengths of the n-grams.
 BUCKETS, SIZES = 1 << 15, (1, 2, 3)
@@ -127,7 +128,7 @@ def train(labelled: DataFrame, alpha: float = 0.1) -> Model:
     return Model([r.lang for r in found], np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(rows / max(1, rows.sum())))
 
 
-def _score(model, keep_text: bool):
+def _score(model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         width = len(m.languages)
@@ -141,9 +142,10 @@ def _score(model, keep_text: bool):
             share = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1) if width else np.zeros(batch.num_rows)
             known = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False) & bool(width)
             lang = [m.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
-            kept = [("key", batch.column(0)), ("text", batch.column(1))][: 1 + keep_text]
-            found = [("lang_pred", pa.array(lang, pa.string())), ("score", pa.array(np.where(known, share, 0.0)))]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept + found], [n for n, _ in kept + found])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(np.where(known, share, 0.0))],
+                ["doc", "text", "lang_pred", "score"],
+            )
 
     return run
 
@@ -152,25 +154,21 @@ def _score(model, keep_text: bool):
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2, false)"
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str], keep_text: bool = False) -> DataFrame:
-    """-> `columns`, lang_pred, score for each row. lang_pred is a language of the
-    model, or `und` with score 0 where text is null or holds no letter, or the
-    model has no language. score is the posterior of the language. Whole texts
-    are scored, however long; no other column is an input. With `keep_text`,
-    `columns` may hold `text`, which then crosses to Python and back only once."""
-    kinds = dict(docs.dtypes)
-    carried = [c for c in columns if not (keep_text and c == "text")]
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """-> (doc, text, lang_pred, score) for each row, `doc` holding the row's columns
+    but text. lang_pred is a language of the model, or `und` with score 0 where
+    text is null or holds no letter, or the model has no language. score is the
+    posterior of the language. Whole texts are scored, however long; no other
+    column is an input."""
     rows = docs.select(
-        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carried]).alias("key"), "text",
-        F.col("text").rlike("\\p{L}").alias("letters"),
+        F.struct(F.lit(0).alias("_row"), *[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("doc"),
+        F.col("text").cast("string").alias("text"), F.col("text").rlike("\\p{L}").alias("letters"),
     )
-    shape = ", ".join(["`_`: int", *(f"`{c}`: {kinds[c]}" for c in carried)])
-    out = rows.mapInArrow(
-        _score(docs.sparkSession.sparkContext.broadcast(model), keep_text),
-        f"key struct<{shape}>, {'text string, ' if keep_text else ''}lang_pred string, score double",
+    schema = T.StructType(
+        [rows.schema["doc"], T.StructField("text", T.StringType()), T.StructField("lang_pred", T.StringType()),
+         T.StructField("score", T.DoubleType())]
     )
-    chosen = [F.col("text") if keep_text and c == "text" else F.col(f"key.`{c}`") for c in columns]
-    return out.select(*chosen, "lang_pred", "score")
+    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -178,8 +176,9 @@ def identify(docs: DataFrame) -> DataFrame:
     model of its rows with a lang that aren't held out (crc32 of doc_id as text
     modulo 4 is 2; a null doc_id isn't held out). Rows may repeat; an empty table
     gives an empty result; other columns are ignored."""
-    rows = docs.select("doc_id", "text", "lang").withColumn("held_out", F.expr(HELD_OUT))
-    return predict(rows, train(rows.filter(~F.col("held_out"))), ["doc_id", "held_out"])
+    rows = texts(docs).withColumn("held_out", F.expr(HELD_OUT))
+    labelled = docs.select("doc_id", "text", "lang").filter(~F.expr(HELD_OUT))
+    return predict(rows, train(labelled)).select("doc.doc_id", "doc.held_out", "lang_pred", "score")
 
 
 def op3_naive_bayes(spark, sf_dir: str) -> DataFrame:

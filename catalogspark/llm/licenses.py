@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.llm.frames import slices, table
+from catalogspark.llm.frames import slices, table, texts
 
 #: Phrases that count where their words stand consecutively, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -149,7 +149,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
     searched whole, however long. Rows may repeat and doc_id may be null; other
     columns are ignored.
     """
-    return docs.select("doc_id", "text").mapInArrow(
+    return texts(docs).mapInArrow(
         _scan(phrases, notices),
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
         "score double, spans array<struct<label:string,start:long,end:long,similarity:double>>",

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.llm.components import components
-from catalogspark.llm.frames import slices, table
+from catalogspark.llm.frames import slices, table, texts
 from catalogspark.llm.shingles import BLANKS, Words, mix, sets
 from catalogspark.session import cut
 
@@ -172,7 +172,7 @@ def _possible(percent: int, n1: Column, n2: Column, at1: Column, at2: Column) ->
 
 class _Join:
     def __init__(self, docs: DataFrame, size: int, percent: int):
-        self.docs, self.size, self.percent = docs.select("doc_id", "text"), size, percent
+        self.docs, self.size, self.percent = texts(docs), size, percent
         self.context = docs.sparkSession.sparkContext
 
     def described(self) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.llm.encode import encoder, tokenizer_path
-from catalogspark.llm.frames import slices, spread, table
+from catalogspark.llm.frames import slices, spread, table, texts
 from catalogspark.llm.shingles import mix
 from catalogspark.session import cut
 
@@ -147,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = 0, le
     """
     file = tokenizer if "/" in tokenizer else tokenizer_path(tokenizer)
     encoded = cut(
-        docs.select("doc_id", "text").mapInArrow(_encode(file, end), "doc_id long, key long, n long, ids binary")
+        texts(docs).mapInArrow(_encode(file, end), "doc_id long, key long, n long, ids binary")
         .withColumn("row", F.monotonically_increasing_id())
     )
     placed = cut(

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.llm.encode import encoder, tokenizer_path
-from catalogspark.llm.frames import new_path, slices, spread, table
+from catalogspark.llm.frames import new_path, slices, spread, table, texts
 
 MAGIC = b"WMX1"
 #: A shard is closed when it holds so many tokens; a document is never divided.
@@ -205,7 +205,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     file = tokenizer if "/" in tokenizer else tokenizer_path(tokenizer)
     order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")]
     (
-        docs.select("doc_id", "text")
+        texts(docs)
         .repartitionByRange(shards or spread(docs.sparkSession), *order).sortWithinPartitions(*order)
         .mapInArrow(_shards(file, end), "number long, before long, tokens long, payload binary")
         .select(F.spark_partition_id().alias("range"), "number", "before", "tokens", "payload")
