@@ -21,24 +21,24 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Rows whose language is recognised; `lang` becomes the recognised one. Rows
     without letters, or with a posterior under MIN_SCORE, go. Without labels
     nothing can be recognised, and only rows without letters go."""
-    kinds = dict(docs.dtypes)
-    labelled = docs.withColumn("held_out", F.expr(language.HELD_OUT)).filter(~F.col("held_out"))
-    model = language.train(labelled)
+    model = language.train(docs.filter(~F.expr(language.HELD_OUT)))
     if not model.languages:
         return docs.filter(F.col("text").rlike("\\p{L}"))
-    judged = language.predict(docs, model, list(kinds), keep_text=True)
+    judged = language.predict(docs, model)
+    own = {"lang": F.col("lang_pred").alias("lang"), "text": F.col("text")}
     return judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(
-        *[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in kinds]
+        *[own.get(c, F.col(f"doc.`{c}`")) for c in docs.columns]
     )
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go from `text`; a text that loses all of them goes with them.
     `n_chars` is that of the new text."""
-    out = lines.drop_lines(docs)
-    out = out.filter((F.col("_dropped") == 0) | (F.length("text") > 0))
-    changed = F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", changed).select(*docs.columns)
+    out = lines.drop_lines(docs).filter((F.col("n_dropped") == 0) | (F.length("doc.text") > 0))
+    length = F.when(F.col("n_dropped") > 0, F.length("doc.text").cast("long")).otherwise(F.col("doc.n_chars"))
+    return out.select(
+        *[length.alias(c) if c == "n_chars" else F.col(f"doc.`{c}`") for c in docs.columns]
+    )
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,15 +47,15 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     do texts without words."""
     named = ngrams.jaccard_components(docs)
     gone = named.filter(~F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = gone.select("doc_id").distinct()
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.doc_id"), "left_anti")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated rows go; rows that share a doc_id with one go with it."""
     judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = judged.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = judged.filter("contaminated").select("doc_id").distinct()
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
