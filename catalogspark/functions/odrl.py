@@ -45,12 +45,28 @@ def candidates(right: Column) -> Column:
     return F.filter(F.transform(F.split(right, ","), trim_all), lambda x: x != "")
 
 
+def as_number(value: Column) -> Column:
+    """Plain decimal notation, with or without an exponent; no suffixes or names."""
+    plain = value.rlike("^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$")
+    return F.when(plain, value.try_cast("double"))
+
+
+def as_moment(value: Column) -> Column:
+    """A date-time; one without a zone is in UTC, whatever the session's zone."""
+    zoned = value.rlike("(Z|z|[+-][0-9]{2}:?[0-9]{2}|UTC|GMT)$") & F.contains(value, F.lit(":"))
+    dated = value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+    utc = F.when(F.contains(value, F.lit(":")), F.concat(value, F.lit("Z"))).otherwise(
+        F.concat(value, F.lit("T00:00:00Z"))
+    )
+    return F.when(dated, F.when(zoned, value).otherwise(utc).try_cast("timestamp"))
+
+
 def ordered(values: Column, right: Column, compare) -> Column:
     """`compare` over numbers, else over date-times; null when neither reads."""
 
     def one(value: Column) -> Column:
-        number, bound = value.try_cast("double"), right.try_cast("double")
-        moment, limit = value.try_cast("timestamp"), right.try_cast("timestamp")
+        number, bound = as_number(value), as_number(right)
+        moment, limit = as_moment(value), as_moment(right)
         return F.when(number.isNotNull() & bound.isNotNull(), compare(number, bound)).when(
             moment.isNotNull() & limit.isNotNull(), compare(moment, limit)
         )

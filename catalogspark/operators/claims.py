@@ -126,7 +126,8 @@ def admit(
         F.when(text(k).isNotNull(), F.array(text(k))),
         F.try_variant_get(F.col("c")[k], "$", "array<string>"),
     )
-    scope = _ascii_words(text("scope"))
+    # admission splits at any Unicode white space, claim mapping at ASCII blanks
+    scope = F.filter(F.split(text("scope"), r"(?U)\s+"), lambda w: w != "")
 
     reason = F.when(number("exp").isNull(), "missing exp").when(
         number("exp") < now - leeway_secs, "expired"

@@ -20,7 +20,6 @@ from catalogspark.schema import (
     Namespace,
 )
 
-BROADCAST_NODES = 100_000  # node ids of refused catalogs sent to every task at most
 SEGMENT = {"permission": "permissions", "prohibition": "prohibitions", "obligation": "obligations"}
 
 
@@ -92,11 +91,7 @@ def refused_nodes(constraints: DataFrame) -> DataFrame:
 def drop_refused(tables: CatalogTables) -> CatalogTables:
     """Leave out every table row of the refused nodes."""
     refused = refused_nodes(tables.constraints).select("node_id")
-    found = refused.limit(BROADCAST_NODES + 1).count()
-    if found == 0:
-        return tables
-    small = F.broadcast(refused) if found <= BROADCAST_NODES else refused
-    return tables.map(lambda _, df: df.join(small, "node_id", "left_anti"))
+    return tables.map(lambda _, df: df.join(refused, "node_id", "left_anti"))
 
 
 def catalog_quads(tables: CatalogTables, ns: Namespace = NS) -> DataFrame:

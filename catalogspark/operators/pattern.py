@@ -23,7 +23,6 @@ NUMERIC = [
     f"http://www.w3.org/2001/XMLSchema#{t}"
     for t in ("integer", "decimal", "double", "float", "int", "long")
 ]
-MAX_PRODUCT_ROWS = 1000  # rows of the smaller side of patterns that share no variable
 
 
 class TooManyRows(ValueError):
@@ -31,7 +30,7 @@ class TooManyRows(ValueError):
 
 
 class UnboundedProduct(ValueError):
-    """Two large patterns that share no variable."""
+    """Two patterns that share no variable, neither being inline values."""
 
 
 @dataclass(frozen=True)
@@ -136,7 +135,9 @@ def contains(var: str, part: str) -> Column:
 
 
 def regex(var: str, pattern: str, flags: str = "") -> Column:
-    marks = "".join(f for f in flags if f in "ismx")
+    if set(flags) - set("ismx"):
+        raise ValueError(f"unknown regular expression flags {flags!r}")
+    marks = flags
     return F.when(is_literal(var), str_(var).rlike(f"(?{marks}){pattern}" if marks else pattern))
 
 
@@ -155,10 +156,12 @@ def _subsets(names: list[str]):
 
 @dataclass(frozen=True)
 class Solutions:
-    """`df` has one column per variable; `maybe` lists those that may be unbound."""
+    """`df` has one column per variable; `maybe` lists those that may be unbound;
+    `inline` rows are written out in the query."""
 
     df: DataFrame
     maybe: frozenset[str] = field(default_factory=frozenset)
+    inline: bool = False
 
     @property
     def vars(self) -> list[str]:
@@ -180,8 +183,13 @@ class Solutions:
             yield [v for v in shared if v not in unbound], df
 
     def join(self, other: Solutions) -> Solutions:
-        """Every pair of compatible solutions."""
+        """Every pair of compatible solutions. Patterns that share no variable are
+        refused, whatever their sizes, unless one side is inline values. Where
+        they share variables, solutions that leave all of them unbound are
+        compatible with everything; such rows meet in salted parts."""
         shared = self._shared(other)
+        if not shared and not (self.inline or other.inline):
+            raise UnboundedProduct("the patterns share no variable; bind one side first")
         maybe = (self.maybe | other.maybe) - {
             v for v in shared if v not in self.maybe or v not in other.maybe
         }
@@ -360,19 +368,16 @@ def inline_values(spark, names: list[str], rows: list[tuple]) -> Solutions:
     schema = ", ".join(f"`{n}` {TERM}" for n in names)
     df = spark.createDataFrame([tuple(term(v) for v in row) for row in rows], schema)
     maybe = {n for i, n in enumerate(names) if any(row[i] is None for row in rows)}
-    return Solutions(df, frozenset(maybe))
+    return Solutions(df, frozenset(maybe), inline=True)
 
 
 def _product(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of patterns that share no variable, when one side is proven small."""
-    if right.limit(MAX_PRODUCT_ROWS + 1).count() <= MAX_PRODUCT_ROWS:
-        return left.join(F.broadcast(right))
-    if left.limit(MAX_PRODUCT_ROWS + 1).count() <= MAX_PRODUCT_ROWS:
-        return right.join(F.broadcast(left))
-    raise UnboundedProduct(
-        "the patterns share no variable and both have more than "
-        f"{MAX_PRODUCT_ROWS} solutions; bind one side first"
-    )
+    """All pairs, as an equality of parts: the left rows are dealt out and the
+    right ones copied to every part."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.lit(parts)))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))
+    return dealt.join(right.withColumn("_part", F.explode(every)), "_part").drop("_part")
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,6 @@ is ever evaluated per dataset and caller.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,10 +23,9 @@ from catalogspark.session import cut
 
 NO_POLICIES = "none"  # policy set of a dataset without policies
 ALWAYS = "always"  # policy set of what every class may see
-PAIR = ["policy_set", "salt", "operands", "projection"]
+PAIR = ["policy_set", "operands", "projection"]
 RULE = ["policy_idx", "rule_kind", "rule_idx"]
 LABELS = ["policy_id", "kind", "assigner"]  # policy fields that decide nothing
-MAX_OPERAND_SETS = 4096
 STANDALONE_OPERATORS = ["eq", "neq", "isAnyOf"]
 OPEN_REASON = "no permission rules declared on any attached policy; open by default"
 
@@ -37,16 +35,13 @@ class PolicyConfig:
     """`unmappable`: skip_constraint, drop_policy or hide_dataset.
     `no_policy`: open or closed. `strict`: an unmappable policy hides the
     dataset even when an earlier policy allows it. `mode`: `broker`
-    (alternative policies in order) or `deny_overrides` (all rules flattened).
-    `salts` spreads one operand list and one policy set over that many tasks; by
-    default the session's shuffle partitions, at most 64."""
+    (alternative policies in order) or `deny_overrides` (all rules flattened)."""
 
     action: str = "use"
     unmappable: str = "hide_dataset"
     no_policy: str = "open"
     strict: bool = False
     mode: str = "broker"
-    salts: int | None = None
 
     def __post_init__(self) -> None:
         if self.unmappable not in ("skip_constraint", "drop_policy", "hide_dataset"):
@@ -68,21 +63,32 @@ class PolicySets:
 
 @dataclass(frozen=True)
 class Entitlements:
-    """`classes`: (class_key, operands, projection); `decisions`: (policy_set,
-    operands, projection, visible); `members`: (node_id, dataset_id, policy_set)."""
+    """`callers`: (class_key, caller_group), classes whose claims no policy tells
+    apart being one group; `groups`: (caller_group, operands, projection);
+    `decisions`: (policy_set, operands, projection, visible); `members`: (node_id,
+    dataset_id, policy_set)."""
 
     members: DataFrame
-    classes: DataFrame
+    callers: DataFrame
+    groups: DataFrame
     decisions: DataFrame
 
+    @property
+    def classes(self) -> DataFrame:
+        """(class_key, operands, projection)."""
+        return self.groups.join(self.callers, "caller_group").drop("caller_group")
+
     def expand(self, resources: DataFrame, *key: str) -> DataFrame:
-        """(class_key, *key) for resources given with the policy sets that open them."""
+        """(class_key, *key) for resources given with the policy sets that open
+        them. Classes come last, so all joins before are per caller group."""
         allowed = self.decisions.filter("visible").select("policy_set", "operands", "projection")
         opened = resources.join(allowed, "policy_set").select(*key, "operands", "projection")
         if resources is not self.members:
             opened = opened.distinct()
-        found = opened.join(self.classes, ["operands", "projection"]).select("class_key", *key)
-        return found if resources is self.members else found.distinct()
+        found = opened.join(self.groups, ["operands", "projection"]).select("caller_group", *key)
+        if resources is not self.members:
+            found = found.distinct()
+        return found.join(self.callers, "caller_group").select("class_key", *key)
 
     def visible(self) -> DataFrame:
         """(class_key, node_id, dataset_id) of everything each class may see."""
@@ -96,9 +102,11 @@ class Entitlements:
             sizes.join(allowed, "policy_set")
             .groupBy(*groups, "operands", "projection")
             .agg(F.sum("n").alias("n"))
-            .join(self.classes, ["operands", "projection"])
-            .groupBy("class_key", *groups)
+            .join(self.groups, ["operands", "projection"])
+            .groupBy("caller_group", *groups)
             .agg(F.sum("n").alias("n_visible"))
+            .join(self.callers, "caller_group")
+            .select("class_key", *groups, "n_visible")
         )
 
 
@@ -200,72 +208,96 @@ def _map_content(sets: PolicySets, cfg: PolicyConfig) -> DataFrame:
     return mapped
 
 
-def _project(classes: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """-> (policy_set, operands) and (class_key, operands, projection, known).
+def _held(classes: DataFrame, content: DataFrame, asked: DataFrame) -> DataFrame:
+    """(class_key, operand, values): the claims that some policy asks for. Where
+    policies only name assignees, a caller's `sub` values matter as far as they
+    are among these."""
+    held = classes.select("class_key", F.explode("claims").alias("operand", "values")).join(
+        asked.select("operand").distinct(), "operand", "left_semi"
+    )
+    if not content.filter("operand = 'sub'").isEmpty():
+        return held
+    named = content.filter("assignee is not null").select(F.col("assignee").alias("sub")).distinct()
+    subs = (
+        held.filter("operand = 'sub'")
+        .select("class_key", "operand", F.explode("values").alias("sub"))
+        .join(named, "sub", "left_semi")
+        .groupBy("class_key", "operand")
+        .agg(F.array_sort(F.collect_set("sub")).alias("values"))
+    )
+    return held.filter("operand <> 'sub'").unionByName(subs.select(*held.columns))
+
 
-    `operands` are the claim names a policy set asks for. They are collected
-    only after a check of their number; beyond it all policy sets share one
-    list, which decides the same with fewer shared projections.
+def _project(classes: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """-> (policy_set, operands), (class_key, caller_group) and (caller_group,
+    operands, projection, known).
+
+    `operands` are the claim names a policy set asks for and some class holds.
+    Groups meet operand lists by equality of operands; every list also has a
+    blank one that every group holds, which gives the empty projections.
     """
     asks = F.when(F.col("name").isNotNull(), F.col("operand")).when(
         F.col("assignee").isNotNull(), F.lit("sub")
     )
-    claimed = F.array_sort(F.collect_set("operand"))
-    known = classes.select(F.explode(F.map_keys("claims")).alias("operand")).distinct()
     asked = content.select("policy_set", asks.alias("operand")).distinct()
+    known = classes.select(F.explode(F.map_keys("claims")).alias("operand")).distinct()
     per_set = cut(
         asked.join(known.withColumn("held", F.lit(True)), "operand", "left")
         .groupBy("policy_set")
         .agg(F.array_sort(F.collect_set(F.when(F.col("held"), F.col("operand")))).alias("names"))
     )
-    found = per_set.select("names").distinct().limit(MAX_OPERAND_SETS + 1).collect()
-    name_sets = [row.names for row in found]
-    if len(name_sets) > MAX_OPERAND_SETS:
-        name_sets = [per_set.select(F.explode("names").alias("operand")).agg(claimed).first()[0]]
-        per_set = per_set.withColumn("names", F.array(*[F.lit(n) for n in name_sets[0]]))
-    if [] not in name_sets:
-        name_sets.append([])  # for datasets without policies
-    literal = F.from_json(F.lit(json.dumps(name_sets)), "array<array<string>>")
-
-    if any("sub" in names for names in name_sets) and content.filter("operand = 'sub'").isEmpty():
-        # Policies only name assignees, so a caller's `sub` matters if it is one of them.
-        named = content.filter("assignee is not null").select(F.col("assignee").alias("sub"))
-        classes = (
-            classes.withColumn("sub", F.get(F.try_element_at("claims", F.lit("sub")), F.lit(0)))
-            .join(named.distinct().withColumn("named", F.lit(True)), "sub", "left")
-            .withColumn(
-                "claims",
-                F.when(F.col("named"), F.col("claims")).otherwise(
-                    F.map_filter("claims", lambda k, _: k != "sub")
-                ),
-            )
+    claim = F.struct(F.col("operand").alias("key"), F.col("values").alias("value"))
+    kept = _held(classes, content, asked).groupBy("class_key").agg(
+        F.array_sort(F.collect_list(claim)).alias("kept")
+    )
+    none = F.array().cast("array<struct<key:string,value:array<string>>>")
+    grouped = cut(
+        classes.select("class_key")
+        .join(kept, "class_key", "left")
+        .withColumn("kept", F.coalesce("kept", none))
+        .withColumn("caller_group", F.sha2(F.to_json("kept"), 256))
+    )
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blank = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("array<string>").alias("value")))
+    groups = (
+        grouped.groupBy("caller_group").agg(F.first("kept").alias("kept"))
+        .select(
+            "caller_group", F.pmod(F.xxhash64("caller_group"), F.lit(parts)).alias("part"),
+            F.explode(F.concat("kept", blank)).alias("claim"),
         )
-    kept = F.array_sort(
-        F.filter(F.map_entries("claims"), lambda e: F.array_contains(F.col("names"), e["key"]))
     )
+    empty = classes.sparkSession.range(1).select(F.array().cast("array<string>").alias("names"))
+    lists = per_set.select("names").unionByName(empty).distinct()  # empty: datasets without policies
+    lists = lists.select(
+        F.to_json("names").alias("operands"),
+        F.explode(F.concat("names", F.array(F.lit(None).cast("string")))).alias("name"),
+    ).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    met = F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.col("claim"))))
     projected = (
-        classes.withColumn("names", F.explode(literal))
-        .withColumn("kept", kept)
+        groups.join(
+            lists.withColumnRenamed("part", "spread"),
+            F.col("claim.key").eqNullSafe(F.col("name")) & (F.col("part") == F.col("spread")),
+        )
+        .groupBy("caller_group", "operands")
+        .agg(met.alias("kept"))
         .select(
-            "class_key",
-            F.to_json("names").alias("operands"),
-            F.to_json("kept").alias("projection"),
+            "caller_group", "operands", F.to_json("kept").alias("projection"),
             F.map_from_entries("kept").alias("known"),
         )
     )
-    return per_set.select("policy_set", F.to_json("names").alias("operands")), projected
+    return (
+        per_set.select("policy_set", F.to_json("names").alias("operands")),
+        grouped.select("class_key", "caller_group"),
+        cut(projected),
+    )
 
 
-def _pairs(per_set: DataFrame, projections: DataFrame, salts: int) -> DataFrame:
-    """(policy_set, salt, operands, projection, known): what must be decided."""
+def _pairs(per_set: DataFrame, projections: DataFrame) -> DataFrame:
+    """(policy_set, operands, projection, known): what must be decided. One operand
+    list that many policy sets and projections share is a skewed join, which
+    adaptive execution splits."""
     distinct = projections.groupBy("operands", "projection").agg(F.first("known").alias("known"))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return (
-        per_set.withColumn("part", F.pmod(F.xxhash64("policy_set"), F.lit(salts)).cast("int"))
-        .join(distinct.withColumn("part", spread), ["operands", "part"])
-        .withColumn("salt", F.pmod(F.xxhash64("projection"), F.lit(salts)).cast("int"))
-        .select(*PAIR, "known")
-    )
+    return per_set.join(distinct, "operands").select(*PAIR, "known")
 
 
 def _group_value(op: Column, n_true: Column, n_false: Column, n_null: Column) -> Column:
@@ -286,10 +318,9 @@ def _group_value(op: Column, n_true: Column, n_false: Column, n_null: Column) ->
     )
 
 
-def _evaluate(content: DataFrame, pairs: DataFrame, salts: int) -> DataFrame:
+def _evaluate(content: DataFrame, pairs: DataFrame) -> DataFrame:
     """Content rows joined with the pairs that need them, each with `value`:
     a constraint's three-valued outcome, a policy's assignee scope."""
-    spread = content.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     claim = lambda name: F.try_element_at("known", name)
     value = (
         F.when(
@@ -303,7 +334,7 @@ def _evaluate(content: DataFrame, pairs: DataFrame, salts: int) -> DataFrame:
             | F.coalesce(F.array_contains(claim(F.lit("sub")), F.col("assignee")), F.lit(False)),
         )
     )
-    return spread.join(pairs, ["policy_set", "salt"]).select(
+    return content.join(pairs, "policy_set").select(
         *PAIR, *RULE, "tag", "path", "depth", "op", "action", "unmappable", value.alias("value")
     )
 
@@ -345,11 +376,11 @@ def _fold_groups(rows: DataFrame, depth: int) -> DataFrame:
     return rows
 
 
-def _rules(content: DataFrame, pairs: DataFrame, salts: int) -> DataFrame:
+def _rules(content: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per pair and rule (and one row per policy itself): `value` is true for a
     match, false for a miss, null when it cannot be evaluated."""
     depth = min(content.agg(F.max("depth")).first()[0] or 0, MAX_CONSTRAINT_DEPTH + 1)
-    rows = _fold_groups(_evaluate(content, pairs, salts), depth)
+    rows = _fold_groups(_evaluate(content, pairs), depth)
     own = F.col("tag") == "constraint"
     n_false = F.count_if(own & ~F.col("value"))
     n_null = F.count_if(own & F.col("value").isNull())
@@ -454,12 +485,10 @@ def entitle(
     `classes`: (class_key, claims MAP<STRING, ARRAY<STRING>>), one row per class.
     """
     standalone = cfg.mode == "deny_overrides"
-    shuffles = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = cfg.salts or min(shuffles, 64)
     sets = policy_sets(tables, with_labels=standalone)
     content = _map_content(sets, cfg)
-    per_set, projections = _project(classes, content)
-    rules = _rules(content, _pairs(per_set, projections, salts), salts)
+    per_set, callers, projections = _project(classes, content)
+    rules = _rules(content, _pairs(per_set, projections))
     decisions = _deny_overrides(rules, sets.content) if standalone else _broker(rules, cfg)
 
     open_ = standalone or cfg.no_policy == "open"
@@ -476,10 +505,10 @@ def entitle(
         ]
     )
     none = projections.sparkSession.range(1).select(F.inline(bare))
-    decisions = decisions.drop("salt")
     return Entitlements(
         members=sets.members,
-        classes=projections.drop("known"),
+        callers=callers,
+        groups=projections.drop("known"),
         decisions=decisions.unionByName(none.select(decisions.columns)),
     )
 

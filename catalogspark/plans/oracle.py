@@ -377,8 +377,8 @@ SELECT f, e, count(*)::BIGINT AS n FROM (
   SELECT o AS f, NULL AS e FROM quads WHERE p = '{DCT}format'
   UNION ALL SELECT NULL, o FROM quads WHERE p = '{DCAT}endpointDescription') GROUP BY ALL""",
     "minus_no_policy": FULL + f"""
-SELECT s AS d FROM {_typed(DCAT + 'Dataset')} t
-WHERE NOT EXISTS (SELECT 1 FROM quads q WHERE q.p = '{ODRL}hasPolicy' AND q.s = t.s)""",
+SELECT t.s AS d FROM {_typed(DCAT + 'Dataset')} t
+ANTI JOIN (SELECT DISTINCT s FROM quads WHERE p = '{ODRL}hasPolicy') q ON q.s = t.s""",
     "filter_strstarts": CATALOG + f"""
 SELECT s, o AS u FROM quads WHERE p = '{DCAT}endpointURL'
   AND starts_with(o, 'https://supplier-1') AND o <> 'https://supplier-1.example/0'""",

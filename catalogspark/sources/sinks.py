@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.operators.pattern import Solutions
+from catalogspark.operators.pattern import Solutions, TooManyRows
 from catalogspark.schema import XSD_STRING
 
 
@@ -44,7 +44,9 @@ def ask_json(answer: bool) -> str:
 def results_json(solutions: Solutions, max_rows: int) -> str:
     """The whole result document; more than `max_rows` solutions is an error,
     so at most that many rows reach the driver."""
-    rows = [r.value for r in bindings(solutions.capped(max_rows)).limit(max_rows).collect()]
+    rows = [r.value for r in bindings(solutions).limit(max_rows + 1).collect()]
+    if len(rows) > max_rows:
+        raise TooManyRows(f"more than {max_rows} solutions")
     return (
         f'{{"head":{bindings_head(solutions)},"results":{{"bindings":[{",".join(rows)}]}}}}'
     )

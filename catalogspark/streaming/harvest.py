@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from catalogspark.operators import ingest, visibility
+from catalogspark.operators import ingest, snapshot, visibility
 from catalogspark.operators.policy import PolicyConfig, entitle
 from catalogspark.schema import NS, CatalogTables, Namespace
-from catalogspark.session import checkpoint_root
+from catalogspark.session import checkpoint_root, cut
 from catalogspark.sources import responses as R
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -22,11 +22,32 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 # Ingest ------------------------------------------------------------------------
 
 
-def first_deliveries(responses: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop re-delivered responses that arrive within `delay` of the first."""
-    return responses.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(
-        ["node_id", "cycle_id"]
-    )
+ARRIVALS = "node_id string, fetched_at timestamp, cycle_id bigint, version bigint"
+REMOVED = "node_id string, upto timestamp"
+LOGGED = (
+    "node_id string, cycle_id bigint, finished_at timestamp, ok boolean, error string, "
+    "duration_ms bigint, version bigint"
+)
+
+
+def _kept(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """A table of the harvest's folder, empty before its first rows."""
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}/version=-2")
+    return spark.read.schema(schema).parquet(f"{path}/{name}")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The crawl log that the batches have written."""
+    return _kept(spark, path, "crawl_log", LOGGED).drop("version")
+
+
+def new_deliveries(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """A batch without crawls that earlier batches have logged, however long ago;
+    a first delivery counts however late it is. A batch that runs again doesn't
+    see its own log."""
+    spark = batch.sparkSession
+    seen = _kept(spark, path, "crawl_log", LOGGED).filter(F.col("version") < batch_id)
+    return batch.join(seen.select("node_id", "cycle_id").distinct(), ["node_id", "cycle_id"], "left_anti")
 
 
 def upsert_batch(
@@ -37,21 +58,29 @@ def upsert_batch(
     after: Callable[[CatalogTables, int], None] | None = None,
     ns: Namespace = NS,
 ):
-    """A foreachBatch function: the newest good response of each node replaces
-    all of that node's rows; failed responses change nothing.
+    """A foreachBatch function: each crawl is logged once, and the newest good
+    response of each node replaces all of that node's rows; failed responses
+    change nothing.
 
-    A batch writes its nodes' rows as one version and readers take each node's
-    newest version, so a batch that is run again writes the same files.
+    A batch writes its nodes' rows as one version with the time they were fetched.
+    Readers take each node's newest by that time, whatever the order of arrival,
+    and a batch that is run again writes the same files.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        checked = R.check_responses(batch, max_bytes, timeout_ms)
-        fresh = ingest.parse(R.latest_good(checked), participants, ns)
-        arrived = fresh.catalogs.select("node_id").distinct()
+        checked = R.check_responses(new_deliveries(batch, path, batch_id), max_bytes, timeout_ms)
+        best = cut(R.latest_good(checked))
+        log = R.crawl_log_of(checked).dropDuplicates(["node_id", "cycle_id"])
+        log = cut(log)  # before this version's files are replaced
+        fresh = ingest.parse(best, participants, ns)
         for name, df in vars(fresh).items():
             df.write.mode("overwrite").parquet(f"{path}/{name}/version={batch_id}")
+        arrived = best.select("node_id", "fetched_at", "cycle_id").join(
+            fresh.catalogs.select("node_id").distinct(), "node_id", "left_semi"
+        )
         arrived.write.mode("overwrite").parquet(f"{path}/arrivals/version={batch_id}")
+        log.write.mode("overwrite").parquet(f"{path}/crawl_log/version={batch_id}")
         if after is not None:
             after(read_current(spark, path), batch_id)
 
@@ -59,17 +88,50 @@ def upsert_batch(
 
 
 def read_current(spark: SparkSession, path: str) -> CatalogTables:
-    """Each node's rows as of its newest arrival."""
-    arrivals = spark.read.parquet(f"{path}/arrivals").groupBy("node_id").agg(
-        F.max("version").alias("version")
+    """Each node's rows as last fetched, but for nodes removed since."""
+    newest = F.max(F.struct("fetched_at", "cycle_id", "version"))
+    arrivals = _kept(spark, path, "arrivals", ARRIVALS).groupBy("node_id").agg(newest.alias("a"))
+    removed = _kept(spark, path, "removed", REMOVED).groupBy("node_id").agg(F.max("upto").alias("upto"))
+    held = (
+        arrivals.join(removed, "node_id", "left")
+        .filter(F.col("upto").isNull() | (F.col("a.fetched_at") > F.col("upto")))
+        .select("node_id", "a.version")
     )
     tables = {}
     for name in CatalogTables.__dataclass_fields__:
         rows = spark.read.parquet(f"{path}/{name}")
-        tables[name] = rows.join(arrivals, ["node_id", "version"], "left_semi").drop("version")
+        tables[name] = rows.join(held, ["node_id", "version"], "left_semi").drop("version")
     return CatalogTables(**tables)
 
 
+def remove_nodes(spark: SparkSession, path: str, nodes: DataFrame) -> None:
+    """Forget what is held of `nodes`; a response fetched later brings one back."""
+    arrivals = _kept(spark, path, "arrivals", ARRIVALS).join(nodes.select("node_id"), "node_id", "left_semi")
+    upto = cut(arrivals.groupBy("node_id").agg(F.max("fetched_at").alias("upto")))
+    _kept(spark, path, "removed", REMOVED)
+    upto.write.mode("append").parquet(f"{path}/removed/version=0")
+
+
+def expire_nodes(spark: SparkSession, path: str, as_of: str, max_age_secs: float) -> None:
+    """Forget nodes whose last success is older than the limit."""
+    remove_nodes(spark, path, snapshot.expired_nodes(read_log(spark, path), as_of, max_age_secs))
+
+
+def compact(spark: SparkSession, path: str, to: str) -> None:
+    """Write what is current, with the log, to the empty folder `to`, without the
+    versions it has replaced; go on there and drop the old folder."""
+    current = read_current(spark, path)
+    for name, df in vars(current).items():
+        df.write.parquet(f"{to}/{name}/version=-1")
+    arrivals = _kept(spark, path, "arrivals", ARRIVALS).groupBy("node_id").agg(
+        F.max(F.struct("fetched_at", "cycle_id")).alias("a")
+    )
+    arrivals.select("node_id", "a.*").join(
+        current.catalogs.select("node_id").distinct(), "node_id", "left_semi"
+    ).write.parquet(f"{to}/arrivals/version=-1")
+    read_log(spark, path).write.parquet(f"{to}/crawl_log/version=-1")
+
+
 def start_ingest(
     responses: DataFrame, run, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:

@@ -158,18 +158,37 @@ def test_stream_keeps_the_last_good_catalog(spark, tmp_path):
         spark.createDataFrame(rows, S.RESPONSES).write.parquet(str(tmp_path / "in" / f"b{batch}"))
 
     doc = lambda *ids: json.dumps({"dataset": [{"@id": i} for i in ids]})
-    run = harvest.upsert_batch(members(spark, "a", "b"), str(tmp_path / "out"), 1000, 1000)
+    out = str(tmp_path / "out")
+    run = harvest.upsert_batch(members(spark, "a", "b"), out, 1000, 1000)
     steps = [
         ([("a", 1, at(0), 200, 1, doc("1", "2")), ("b", 1, at(0), 200, 1, doc("3"))], {"1", "2", "3"}),
-        ([("a", 2, at(9), 500, 1, "x"), ("b", 2, at(8), 200, 1, doc("4")), ("b", 3, at(9), 200, 1, doc("5"))],
+        ([("a", 3, at(9), 500, 1, "x"), ("b", 2, at(8), 200, 1, doc("4")), ("b", 4, at(9), 200, 1, doc("5"))],
          {"1", "2", "5"}),
+        # fetched between the others and landed last; a crawl delivered again; an old first delivery
+        ([("b", 3, at(5), 200, 1, doc("6")), ("a", 1, at(0), 200, 1, doc("1", "2")), ("a", 2, at(2), 200, 1, doc("7"))],
+         {"7", "5"}),
     ]
+    held = lambda path: {r.dataset_id for r in harvest.read_current(spark, path).datasets.collect()}
     for i, (rows, want) in enumerate(steps):
         land(i, rows)
         source = R.stream_responses(spark, str(tmp_path / "in" / "*"))
-        harvest.start_ingest(harvest.first_deliveries(source), run, str(tmp_path / "cp")).awaitTermination()
-        now = harvest.read_current(spark, str(tmp_path / "out"))
-        assert {r.dataset_id for r in now.datasets.collect()} == want
+        harvest.start_ingest(source, run, str(tmp_path / "cp")).awaitTermination()
+        assert held(out) == want
+    log = harvest.read_log(spark, out).collect()
+    assert sorted((r.node_id, r.cycle_id, r.ok) for r in log) == [
+        ("a", 1, True), ("a", 2, True), ("a", 3, False), ("b", 1, True), ("b", 2, True), ("b", 3, True), ("b", 4, True)
+    ]
+    last = spark.createDataFrame([("a", 2, at(2), 200, 1, doc("7"))], S.RESPONSES)
+    run(last.limit(0), 9)  # an empty batch
+    assert held(out) == {"7", "5"}
+    harvest.compact(spark, out, str(tmp_path / "next"))
+    assert held(str(tmp_path / "next")) == {"7", "5"}
+    harvest.expire_nodes(spark, out, str(at(9)), (at(9) - at(2)).total_seconds() - 1)
+    assert held(out) == {"5"}
+    run(spark.createDataFrame([("a", 8, at(20), 200, 1, doc("8"))], S.RESPONSES), 10)
+    assert held(out) == {"8", "5"}
+    harvest.remove_nodes(spark, out, members(spark, "b"))
+    assert held(out) == {"8"}
 
 
 def test_live_status_matches_batch(spark, log, tmp_path):
