@@ -12,12 +12,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Pieces a worker remembers; the cache is emptied when it is full.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 1_400_000
 #: A longer piece isn't remembered, so the cache is bounded in bytes.
 PIECE_BYTES = 64
 #: Characters of the texts whose new pieces go to the library together.
@@ -27,7 +28,9 @@ CALL = 2_000
 
 _ODD_BLANK = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
 _LATIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
-_CLOSING = b".,:;!?"
+#: ASCII marks that are a pre-token of their own behind a letter. The apostrophe
+#: isn't one: it may begin an ending such as 's.
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,13 +56,14 @@ class Encoder:
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         other = [b for b in range(256) if b not in set(plain)]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(other)}
+        self.merges = self.library.model.tokenize
         self.special = [token["content"] for token in spec["added_tokens"]]
         pre, normalizer = spec["pre_tokenizer"], spec["normalizer"] or {}
         kinds = [step["type"] for step in normalizer.get("normalizers", [])]
         if pre["type"] == "Sequence" and kinds == ["NFC", "Replace", "Lowercase"]:
-            self.cut = self._at_white_space
+            self.cut, self.blank = self._at_white_space, ""
         elif pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not normalizer:
-            self.cut = self._before_blanks
+            self.cut, self.blank = self._before_blanks, self.alphabet[32]
         else:
             self.cut = lambda text: None
 
@@ -88,13 +92,15 @@ class Encoder:
         return piece.decode()
 
     def _parts(self, piece: bytes) -> tuple[bytes, ...]:
-        """Pieces whose ids in order are the piece's; a closing mark behind an
-        ASCII letter is encoded on its own."""
+        """Pieces whose ids in order are the piece's: marks behind an ASCII letter
+        are encoded on their own."""
         blanks = self.cut == self._before_blanks
         if blanks and piece[0] == 10 and len(piece) > 1:
             return (b"\n", *self._parts(b" " + piece[1:]))
-        if piece[-1] in _CLOSING and piece[-2:-1].isalpha():
-            return (piece[:-1], b" " + piece[-1:] if blanks else piece[-1:])
+        word = piece.rstrip(_MARKS)
+        if word[-1:].isalpha() and len(word) < len(piece):
+            marks = piece[len(word) :]
+            return (word, b" " + marks if blanks else marks)
         return (piece,)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
@@ -108,20 +114,42 @@ class Encoder:
         yield from self._encode(waiting)
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        cuts = [self.cut(text) for text in texts]
         if len(self.known) >= CACHE_PIECES:
             self.known.clear()
-        once = self._learn({p for c in cuts if c for p in set(c).difference(self.known)})
-        look = _Both(self.known, once).__getitem__ if once else self.known.__getitem__
-        for text, pieces in zip(texts, cuts):
-            yield self.whole(text) if pieces is None else b"".join(map(look, pieces))
+        known = self.known
+        look, cuts, found, new = known.get, [], [], set()
+        for text in texts:
+            pieces = self.cut(text)
+            ids = list(map(look, pieces)) if pieces is not None else None
+            if ids is not None and None in ids:
+                new.update([p for p, i in zip(pieces, ids) if i is None])
+            else:
+                pieces = None  # nothing is left to look up
+            cuts.append(pieces)
+            found.append(ids)
+        once = self._learn(new)
+        for text, pieces, ids in zip(texts, cuts, found):
+            if ids is None:
+                yield self.whole(text)
+            elif pieces is None:
+                yield b"".join(ids)
+            else:
+                yield b"".join([(known[p] if p in known else once[p]) if i is None else i for p, i in zip(pieces, ids)])
 
     def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
         """Remember the new pieces; those too long to remember are returned."""
-        known, found, rest = self.known, {}, []
-        made = {piece: self._parts(piece) for piece in new}
-        for piece in {part for parts in made.values() for part in parts}.difference(known):
-            ids = self._merged(piece)
+        known, found, rest, made = self.known, {}, [], {}
+        ask = set()
+        for piece in new:
+            # a line feed before a word and marks behind it are encoded on their own
+            if piece[-1] in _MARKS or piece[0] == 10:
+                made[piece] = parts = self._parts(piece)
+                ask.update(parts)
+            else:
+                ask.add(piece)
+        merge = self._merged
+        for piece in ask.difference(known):
+            ids = merge(piece)
             if ids is None:
                 rest.append(piece)
             else:
@@ -147,19 +175,24 @@ class Encoder:
 
     def _merged(self, piece: bytes) -> bytes | None:
         """Ids of a word of Latin letters, one pre-token: the library's merges
-        on it as its normalizer and its byte alphabet give it. Else None."""
-        text = self._text(piece)
-        if not _LATIN.fullmatch(text):
-            return None
-        if not text.isascii():
+        on it in the byte alphabet, its case folded if the file folds case.
+        Else None."""
+        if piece.isalpha():  # ASCII letters alone
+            text = self.blank + piece.decode()
+        else:
+            text = self._text(piece)
+            if not _LATIN.fullmatch(text):
+                return None
             if self.library.normalizer is not None:
-                text = self.library.normalizer.normalize_str(text)
+                text = text.lower()
                 if not _LATIN.fullmatch(text):
                     return None
             text = text.encode().decode("latin-1").translate(self.alphabet)
-        elif text[0] == " ":
-            text = self.alphabet[32] + text[1:]
-        return np.array([token.id for token in self.library.model.tokenize(text)], "<u4").tobytes()
+        return _pack([token.id for token in self.merges(text)])
+
+
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Both(dict):
