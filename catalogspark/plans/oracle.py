@@ -223,7 +223,7 @@ landed AS (
          WHEN l_suppkey % 20 = 7 THEN 'returned HTTP 503'
          WHEN l_suppkey % 20 = 11 THEN 'malformed JSON response' END AS error
   FROM held h JOIN part p ON l_partkey = p_partkey),
-good AS (SELECT * FROM landed WHERE error IS NULL),
+good AS (SELECT * FROM landed),
 pols AS (SELECT * FROM good WHERE l_partkey % 4 IN (0, 1)),
 found_rules AS (
   SELECT node_id, dataset_id, 0::BIGINT AS policy_idx, 'permission' AS rule_kind,
@@ -585,6 +585,16 @@ SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start, count(*)::BIGINT A
 FROM events GROUP BY time_bucket(INTERVAL '1 hour', ts)
 HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour'
   <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""",
+    "stream_ingest": """
+SELECT 'nation-' || user_id % 25 AS node_id, 'catalog-' || max_by(event_id, (ts, event_id)) AS catalog_id,
+  'dataset-' || max_by(event_id, (ts, event_id)) % 7 AS dataset_id
+FROM events WHERE event_type <> 'error' GROUP BY user_id % 25""",
+    "stream_status": """
+SELECT 'nation-' || user_id % 25 AS node_id, epoch_us(max(ts)) AS last_attempt,
+  epoch_us(max(ts) FILTER (event_type <> 'error')) AS last_success,
+  CASE WHEN max_by(event_type, (ts, event_id)) = 'error' THEN 'returned HTTP 500' END AS last_error,
+  count(*)::BIGINT AS attempts
+FROM events GROUP BY user_id % 25""",
     "stream_expiry": """
 SELECT 'nation-' || user_id % 25 AS node_id,
   max(epoch_us(ts) // 1000) FILTER (event_type <> 'error') AS last_success_ms

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from catalogspark.operators import pattern as P
 from catalogspark.operators.pattern import Graph, text
 from catalogspark.operators.policy import Entitlements, PolicyConfig, entitle
 from catalogspark.schema import DCAT, DCT, NS, ODRL, RDF_TYPE, CatalogTables
-from catalogspark.session import cut
+from catalogspark.session import checkpoint_root, cut
 from catalogspark.sources import participants as participant_checks_
 from catalogspark.sources import responses as R
 from catalogspark.sources import star
@@ -572,7 +573,7 @@ def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def response_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = R.check_responses(star.responses(spark, sf_dir))
+    checked = R.check_responses(star.responses(spark, sf_dir, broken=True))
     return checked.filter("error is not null").select("node_id", "error")
 
 
@@ -723,6 +724,39 @@ def stream_cycle_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _harvested(spark: SparkSession, sf_dir: str) -> str:
+    """Two landings through the ingest stream: the later one brings crawls that
+    were made between those of the first, and some of these again."""
+    root = f"{checkpoint_root(spark)}/harvest-{uuid.uuid4().hex}"
+    crawls = star.catalog_responses(spark, sf_dir)
+    run = harvest.upsert_batch(star.participants(spark, sf_dir), f"{root}/out", 1 << 20, 30_000)
+    landings = ["cycle_id % 2 = 1", "cycle_id % 2 = 0 or cycle_id % 3 = 0"]
+    for i, which in enumerate(landings):
+        crawls.filter(which).write.parquet(f"{root}/in/landing={i}")
+        stream = R.stream_responses(spark, f"{root}/in/*")
+        harvest.start_ingest(stream, run, f"{root}/checkpoint").awaitTermination()
+    return f"{root}/out"
+
+
+@query
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = harvest.read_current(spark, _harvested(spark, sf_dir))
+    return held.datasets.join(held.catalogs.select("node_id", "catalog_id"), "node_id").select(
+        "node_id", "catalog_id", "dataset_id"
+    )
+
+
+@query
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and number of attempts from the log that the ingest stream wrote."""
+    log = harvest.read_log(spark, _harvested(spark, sf_dir))
+    attempts = log.groupBy("node_id").agg(F.count("*").alias("attempts"))
+    return harvest.live_status(log).join(attempts, "node_id").select(
+        "node_id", F.unix_micros("last_attempt").alias("last_attempt"),
+        F.unix_micros("last_success").alias("last_success"), "last_error", "attempts",
+    )
+
+
 @query
 def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = harvest.event_log_stream(spark, sf_dir)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogspark.schema import CatalogTables
+from catalogspark.session import cut
 
 # The market segments of the customer table, in order.
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -70,14 +71,21 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").join(supplier, F.expr("l_suppkey = s_suppkey"))
 
 
-def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offers(spark, sf_dir).select("s_nationkey", "l_partkey").distinct()
+SHIPPED = ["s_nationkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
 
 
-def _per_dataset(spark: SparkSession, sf_dir: str, part: DataFrame, *columns: str) -> DataFrame:
+def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct ways in which a nation's suppliers ship a part."""
+    return offers(spark, sf_dir).select(*SHIPPED).distinct()
+
+
+def holdings(offered: DataFrame) -> DataFrame:
+    return offered.select("s_nationkey", "l_partkey").distinct()
+
+
+def _per_dataset(held: DataFrame, part: DataFrame, *columns: str) -> DataFrame:
     return (
-        holdings(spark, sf_dir)
-        .join(part, F.expr("l_partkey = p_partkey"))
+        held.join(part, F.expr("l_partkey = p_partkey"))
         .selectExpr(
             "'nation-' || s_nationkey AS node_id", "'part-' || l_partkey AS dataset_id", *columns
         )
@@ -94,10 +102,11 @@ map_filter(map(
 ), (k, v) -> v IS NOT NULL)"""
 
 
-def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def datasets(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
     part = read(spark, sf_dir, "part")
+    held = holdings(offers(spark, sf_dir)) if held is None else held
     return _per_dataset(
-        spark, sf_dir, part, "l_partkey AS idx", f"{DATASET_PROPERTIES} AS properties"
+        held, part, "l_partkey AS idx", f"{DATASET_PROPERTIES} AS properties"
     )
 
 
@@ -115,14 +124,11 @@ def services(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def distributions(ways: DataFrame) -> DataFrame:
     """Per dataset, one distribution per supplier, return flag and line status.
     Every seventh part points at a service nobody lists."""
     return (
-        offers(spark, sf_dir)
-        .select("s_nationkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
-        .distinct()
-        .selectExpr(
+        ways.selectExpr(
             "'nation-' || s_nationkey AS node_id",
             "'part-' || l_partkey AS dataset_id",
             "l_suppkey * 6 + 2 * CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
@@ -193,7 +199,7 @@ def part_rules(variant: str = "") -> str:
         IF(p_size % 3 = 0, {_rule(1, "permission", *either)}, NULL)))"""
 
 
-def policies(spark: SparkSession, sf_dir: str, variant: str = "") -> DataFrame:
+def policies(spark: SparkSession, sf_dir: str, held: DataFrame, variant: str = "") -> DataFrame:
     assignee = "string(NULL)"
     if variant == "assignee":
         assignee = """IF(policy_idx = 0 AND p_size % 4 = 0,
@@ -205,7 +211,7 @@ def policies(spark: SparkSession, sf_dir: str, variant: str = "") -> DataFrame:
             AS policy_idx""",
     )
     return _per_dataset(
-        spark, sf_dir, part,
+        held, part,
         "policy_idx",
         f"IF(policy_idx = 0, 'urn:policy:' || lower({SEGMENT}), NULL) AS policy_id",
         "IF(policy_idx = 0, 'Offer', 'Set') AS kind",
@@ -214,12 +220,12 @@ def policies(spark: SparkSession, sf_dir: str, variant: str = "") -> DataFrame:
     )
 
 
-def rules(spark: SparkSession, sf_dir: str, variant: str = "") -> DataFrame:
+def rules(spark: SparkSession, sf_dir: str, held: DataFrame, variant: str = "") -> DataFrame:
     part = read(spark, sf_dir, "part").selectExpr("p_partkey", f"inline({part_rules(variant)})")
-    return _per_dataset(spark, sf_dir, part, "policy_idx", "rule_kind", "rule_idx", "action")
+    return _per_dataset(held, part, "policy_idx", "rule_kind", "rule_idx", "action")
 
 
-def constraints(spark: SparkSession, sf_dir: str, variant: str = "") -> DataFrame:
+def constraints(spark: SparkSession, sf_dir: str, held: DataFrame, variant: str = "") -> DataFrame:
     part = (
         read(spark, sf_dir, "part")
         .selectExpr("p_partkey", f"inline({part_rules(variant)})")
@@ -228,20 +234,23 @@ def constraints(spark: SparkSession, sf_dir: str, variant: str = "") -> DataFram
         )
     )
     return _per_dataset(
-        spark, sf_dir, part, "policy_idx", "rule_kind", "rule_idx", "path", "depth", "op",
+        held, part, "policy_idx", "rule_kind", "rule_idx", "path", "depth", "op",
         "left_operand", "operator", "right_operand",
     )
 
 
 def tables(spark: SparkSession, sf_dir: str, variant: str = "") -> CatalogTables:
+    """All tables of one query, over one reading of the line items."""
+    ways = cut(shipped(spark, sf_dir))
+    held = cut(holdings(ways))
     return CatalogTables(
         catalogs=catalogs(spark, sf_dir),
-        datasets=datasets(spark, sf_dir),
-        distributions=distributions(spark, sf_dir),
+        datasets=datasets(spark, sf_dir, held),
+        distributions=distributions(ways),
         services=services(spark, sf_dir),
-        policies=policies(spark, sf_dir, variant),
-        rules=rules(spark, sf_dir, variant),
-        constraints=constraints(spark, sf_dir, variant),
+        policies=policies(spark, sf_dir, held, variant),
+        rules=rules(spark, sf_dir, held, variant),
+        constraints=constraints(spark, sf_dir, held, variant),
     )
 
 
@@ -276,10 +285,11 @@ def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def responses(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
     """Catalog documents rendered from the line items: one participant per
     supplier and block of 64 parts, so a document has at most 64 datasets of
-    six distributions. Some arrive broken, late or with an error status.
+    six distributions. With `broken`, some arrive cut off, late or with an error
+    status.
 
     Each document lists its even parts directly and its odd parts in a nested
     catalog; keys use all three spellings and several JSON-LD shapes.
@@ -335,9 +345,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "bigint(1) AS cycle_id",
         "timestamp '2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, int(block), 0)"
         " AS fetched_at",
-        "IF(l_suppkey % 20 = 7, 503, 200) AS http_status",
-        "bigint(IF(block % 9 = 8, 60000, 20)) AS duration_ms",
-        f"IF(l_suppkey % 20 = 11, substr({body}, 1, 40), {body}) AS body",
+        f"IF({str(broken).lower()} AND l_suppkey % 20 = 7, 503, 200) AS http_status",
+        f"bigint(IF({str(broken).lower()} AND block % 9 = 8, 60000, 20)) AS duration_ms",
+        f"IF({str(broken).lower()} AND l_suppkey % 20 = 11, substr({body}, 1, 40), {body}) AS body",
     )
 
 
@@ -361,6 +371,15 @@ def event_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def catalog_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One catalog of one dataset per event, errors with status 500."""
+    return event_responses(spark, sf_dir).selectExpr(
+        "node_id", "cycle_id", "fetched_at", "http_status", "bigint(20) AS duration_ms",
+        """to_json(named_struct('@id', 'catalog-' || cycle_id,
+            'dataset', array(named_struct('@id', 'dataset-' || cycle_id % 7)))) AS body""",
+    )
+
+
 def place_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """partOf edges: line items' suppliers in nations, nations in regions."""
     edge = lambda s, o: (

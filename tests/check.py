@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -53,7 +54,8 @@ def main(argv) -> int:
     names = argv[1:] or list(entry.queries())
     if argv[1:2] == ["--sql"]:
         names = [n for n in entry.oracle_sql()]
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"))
+    folder = tempfile.mkdtemp(prefix="queries-")
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), **{"spark.checkpoint.dir": folder})
     con = connect(sf_dir)
     bad = 0
     for name in names:

@@ -6,7 +6,8 @@ from catalogspark.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, shuffle_partitions=4)
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("checkpoints"))
+    session = local_session(4, shuffle_partitions=4, **{"spark.checkpoint.dir": folder})
     yield session
     session.stop()

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 QUICK = [
     "entitled_datasets_by_class", "deny_reason_counts", "caller_admission", "claim_classes",
     "visible_quad_counts", "roundtrip_datasets", "bgp_dataset_service", "path_closure",
-    "literal_aggregates", "policy_json", "scalar_render", "participant_status", "stream_expiry",
+    "literal_aggregates", "policy_json", "scalar_render", "participant_status", "stream_expiry", "stream_ingest",
 ]
 
 
