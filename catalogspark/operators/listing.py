@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.operators.offers import PAGE, joined, policy_texts, quoted
+from catalogspark.operators.offers import PAGE, WITH_NULLS, joined, policy_texts, quoted
 from catalogspark.schema import DATASET_KEY, CatalogTables
 
 
@@ -25,8 +25,9 @@ def node_tables(tables: CatalogTables, node_id: str) -> CatalogTables:
 
 
 def catalog_json(tables: CatalogTables, page_size: int = PAGE) -> DataFrame:
-    """(node_id, catalog_id, page, catalog): the catalog list as JSON, in pages
-    of list positions like the offers; services are paged the same way."""
+    """(node_id, catalog_id, page, catalog): the catalog list as JSON, policies in
+    their stored shape, in pages of list positions like the offers; services are
+    paged the same way."""
     part = F.struct("idx", F.to_json(F.struct("format", "access_service")).alias("text"))
     parts = tables.distributions.groupBy(*DATASET_KEY).agg(
         joined(F.collect_list(part)).alias("distributions")
@@ -38,12 +39,12 @@ def catalog_json(tables: CatalogTables, page_size: int = PAGE) -> DataFrame:
         F.lit(',"policies":'), F.coalesce("has_policy", F.lit("[]")), F.lit("}"),
     )
     service = F.to_json(
-        F.struct(F.col("service_id").alias("id"), "endpoint_url", "endpoint_description")
+        F.struct(F.col("service_id").alias("id"), "endpoint_url", "endpoint_description"), WITH_NULLS
     )
     page = F.floor(F.col("idx") / page_size).alias("page")
     items = (
         tables.datasets.join(parts, DATASET_KEY, "left")
-        .join(policy_texts(tables), DATASET_KEY, "left")
+        .join(policy_texts(tables, stored=True), DATASET_KEY, "left")
         .select("node_id", page, F.lit("d").alias("of"), "idx", dataset.alias("text"))
         .unionByName(
             tables.services.select("node_id", page, F.lit("s").alias("of"), "idx",
@@ -58,7 +59,8 @@ def catalog_json(tables: CatalogTables, page_size: int = PAGE) -> DataFrame:
         F.struct(
             F.col("catalog_id").alias("id"), F.col("node_id").alias("origin_node"),
             "participant_id", "properties",
-        )
+        ),
+        WITH_NULLS,
     )
     catalog = F.concat(
         F.substr(head, F.lit(1), F.length(head) - F.lit(1)),

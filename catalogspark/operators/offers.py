@@ -12,6 +12,7 @@ from catalogspark.operators.policy import RULE, policy_sets
 from catalogspark.schema import (
     DATASET_KEY,
     DCAT,
+    MAX_CONSTRAINT_DEPTH,
     MAX_SERVED_GROUP_DEPTH,
     NS,
     ODRL,
@@ -21,6 +22,7 @@ from catalogspark.schema import (
 )
 
 PAGE = 10_000  # datasets per offer row
+WITH_NULLS = {"ignoreNullFields": "false"}
 
 
 def quoted(column: Column | str) -> Column:
@@ -35,10 +37,14 @@ def joined(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
 
 
-def _constraint_texts(content: DataFrame, ns: Namespace) -> DataFrame:
+def _constraint_texts(content: DataFrame, ns: Namespace, stored: bool = False) -> DataFrame:
     """(policy_set, rule, idx, text) of top-level constraints, folded bottom-up.
-    Groups nested too deep to serve become the marker; andSequence is `and`."""
-    deepest = MAX_SERVED_GROUP_DEPTH
+    As served, groups nested too deep become the marker and andSequence is `and`;
+    as `stored`, every group keeps its name and its contents."""
+    deepest = MAX_CONSTRAINT_DEPTH if stored else MAX_SERVED_GROUP_DEPTH
+    names = ["left_operand", "operator", "right_operand"] if stored else [
+        "leftOperand", "operator", "rightOperand"
+    ]
     rows = content.filter(f"tag = 'constraint' and depth <= {deepest}")
     marker = {
         "leftOperand": "", "operator": ns.unmappable_operator,
@@ -47,15 +53,16 @@ def _constraint_texts(content: DataFrame, ns: Namespace) -> DataFrame:
     own = F.when(
         F.col("op") == "atomic",
         F.to_json(
-            F.struct(
-                F.col("left_operand").alias("leftOperand"), "operator",
-                F.col("right_operand").alias("rightOperand"),
-            )
+            F.struct(*[F.col(c).alias(n) for c, n in zip(["left_operand", "operator", "right_operand"], names)])
         ),
-    ).when(F.col("depth") >= deepest, F.lit(json.dumps(marker)))
+    )
+    if not stored:
+        own = own.when(F.col("depth") >= deepest, F.lit(json.dumps(marker)))
     rows = rows.select("policy_set", *RULE, "path", "depth", "op", own.alias("text"))
     depth = rows.agg(F.max("depth")).first()[0] or 0
     key = F.when(F.col("op") == "andSequence", "and").otherwise(F.col("op"))
+    if stored:
+        key = F.concat(F.lit("odrl:"), F.col("op"))
     for level in range(depth, -1, -1):
         # Groups of this level have all their children by now.
         if level < depth:
@@ -91,20 +98,22 @@ def _constraint_texts(content: DataFrame, ns: Namespace) -> DataFrame:
     return rows.select("policy_set", *RULE, F.element_at("path", 1).alias("i"), "text")
 
 
-def policy_texts(tables: CatalogTables, ns: Namespace = NS) -> DataFrame:
+def policy_texts(tables: CatalogTables, ns: Namespace = NS, stored: bool = False) -> DataFrame:
     """(node_id, dataset_id, has_policy): each dataset's policies as a JSON
-    array, built once per distinct policy set."""
+    array, built once per distinct policy set, as offers serve them or as the
+    catalog stores them."""
     sets = policy_sets(tables, with_labels=True)
     content = sets.content
     constraints = (
-        _constraint_texts(content, ns)
+        _constraint_texts(content, ns, stored)
         .groupBy("policy_set", *RULE)
         .agg(joined(F.collect_list(F.struct("i", "text"))).alias("constraints"))
     )
+    held = F.concat(F.lit(',"constraint":'), F.col("constraints"))
+    if stored:
+        held = F.concat(F.lit(',"constraints":'), F.coalesce("constraints", F.lit("[]")))
     rule = F.concat(
-        F.lit('{"action":'), quoted("action"),
-        F.coalesce(F.concat(F.lit(',"constraint":'), F.col("constraints")), F.lit("")),
-        F.lit("}"),
+        F.lit('{"action":'), quoted("action"), F.coalesce(held, F.lit("")), F.lit("}"),
     )
     kinds = [
         F.collect_list(
@@ -129,6 +138,14 @@ def policy_texts(tables: CatalogTables, ns: Namespace = NS) -> DataFrame:
         F.when(F.size(k) > 0, F.concat(F.lit(f',"{k}":'), joined(F.col(k)))).otherwise("")
         for k in RULE_KINDS
     ]
+    if stored:
+        head = F.to_json(
+            F.struct(F.col("policy_id").alias("id"), "kind", "assigner", "assignee"), WITH_NULLS
+        )
+        tail = [
+            F.concat(F.lit(f',"{k}s":'), F.coalesce(joined(F.col(k)), F.lit("[]")))
+            for k in RULE_KINDS
+        ]
     body = F.concat(
         F.substr(head, F.lit(1), F.length(head) - F.lit(1)),
         *[F.coalesce(t, F.lit("")) for t in tail],
@@ -262,6 +279,15 @@ def requested_dataset(body: str) -> str | None:
     return None
 
 
+def offers_with_dataset(
+    tables: CatalogTables, dataset_id: str, page_size: int = PAGE, ns: Namespace = NS
+) -> DataFrame:
+    """The offers, all their pages, of catalogs that hold the dataset."""
+    holders = catalogs_with_dataset(tables, dataset_id).select("node_id").distinct()
+    keep = lambda _, df: df.join(holders, "node_id", "left_semi")
+    return offers(tables.map(keep), page_size, ns)
+
+
 def catalogs_with_dataset(tables: CatalogTables, dataset_id: str) -> DataFrame:
     """(node_id, catalog_id) of offers that hold the dataset, after policy filtering."""
     holders = tables.datasets.filter(F.col("dataset_id") == dataset_id).select("node_id")

@@ -139,6 +139,19 @@ def test_offers(spark, monkeypatch):
     full = {(r.node_id, r.page): json.loads(r.catalog) for r in listing.catalog_json(tables).collect()}
     assert [d["id"] for d in full["n", 0]["datasets"]] == ["d0", "d1", "d2"]
     assert full["n", 0]["datasets"][0]["distributions"][1] == {"format": "csv", "access_service": "s1"}
+    stored = lambda left, op, right: {"left_operand": left, "operator": op, "right_operand": right}
+    none = {"id": None, "kind": "Set", "assigner": None, "assignee": None, "permissions": [], "prohibitions": [],
+            "obligations": []}
+    nested = {"odrl:andSequence": [stored("x", "eq", 'q"1')]}
+    assert full["n", 0]["datasets"][0]["policies"] == [
+        {"id": "p", "kind": "Offer", "assigner": None, "assignee": "bob", "permissions": [
+            {"action": "odrl:use", "constraints": [
+                nested, {"odrl:xone": []}, {"odrl:andSequence": [{"odrl:andSequence": [nested]}]}]}],
+         "prohibitions": [], "obligations": [{"action": "urn:z", "constraints": []}]}, none]
+    assert full["n", 0]["data_services"][0] == {"id": "s1", "endpoint_url": "u1", "endpoint_description": None}
+    found = offers.offers_with_dataset(tables, "d2", page_size=2).collect()
+    assert [r.offer for r in sorted(found, key=lambda r: r.page)] == [
+        r.offer for r in sorted(offers.offers(tables, page_size=2).collect(), key=lambda r: r.page) if r.node_id == "n"]
     assert len(full["bare", 0]["datasets"]) == 1 and full["bare", 0]["data_services"] == []
     order = [(r.catalog_id, r.node_id) for r in listing.list_catalogs(tables.catalogs, offset=1).collect()]
     assert order == [("cat", "n"), ("cat2", "empty")]
