@@ -19,6 +19,8 @@ from catalogspark.session import cut
 
 TERM = "struct<value:string,kind:string,datatype:string,lang:string>"
 XSD_DOUBLE = "http://www.w3.org/2001/XMLSchema#double"
+XSD_FLOAT = "http://www.w3.org/2001/XMLSchema#float"
+XSD_DECIMAL = "http://www.w3.org/2001/XMLSchema#decimal"
 NUMERIC = [
     f"http://www.w3.org/2001/XMLSchema#{t}"
     for t in ("integer", "decimal", "double", "float", "int", "long")
@@ -207,8 +209,20 @@ class Solutions:
         names = self.vars + [v for v in other.vars if v not in shared]
         return Solutions(df.select(names), maybe)
 
-    def optional(self, other: Solutions) -> Solutions:
+    def _met(self, other: Solutions, condition: Column) -> tuple[Solutions, DataFrame]:
+        """The solutions numbered, and the compatible pairs that fulfil a condition
+        over the variables of both sides, unbound ones among them."""
+        named = Solutions(cut(self.df.withColumn("_id", F.monotonically_increasing_id())), self.maybe)
+        return named, named.join(other).df.filter(condition)
+
+    def optional(self, other: Solutions, condition: Column | None = None) -> Solutions:
+        """`condition` is a filter inside the optional group."""
         shared = self._shared(other)
+        if condition is not None:
+            named, met = self._met(other, condition)
+            missed = named.df.join(met.select("_id").distinct(), "_id", "left_anti")
+            df = met.unionByName(missed, allowMissingColumns=True).drop("_id")
+            return Solutions(df, self.maybe | other.maybe | set(other.vars) - set(shared))
         added = [v for v in other.vars if v not in shared]
         simple = shared and not any(v in self.maybe or v in other.maybe for v in shared)
         if simple:
@@ -238,8 +252,13 @@ class Solutions:
             return self
         return Solutions(self._without(other, disjoint_matches=False), self.maybe)
 
-    def exists(self, other: Solutions) -> Solutions:
+    def exists(self, other: Solutions, condition: Column | None = None) -> Solutions:
+        """`condition` is a filter inside the group, over the variables of both."""
         shared = self._shared(other)
+        if condition is not None:
+            named, met = self._met(other, condition)
+            found = named.df.join(met.select("_id").distinct(), "_id", "left_semi")
+            return Solutions(found.drop("_id"), self.maybe)
         if not shared:
             return self if not other.df.isEmpty() else Solutions(self.df.limit(0), self.maybe)
         if any(v in self.maybe or v in other.maybe for v in shared):
@@ -254,7 +273,11 @@ class Solutions:
             self.df.join(other.df, shared, "left_semi").select(self.vars), self.maybe
         )
 
-    def not_exists(self, other: Solutions) -> Solutions:
+    def not_exists(self, other: Solutions, condition: Column | None = None) -> Solutions:
+        if condition is not None:
+            named, met = self._met(other, condition)
+            lost = named.df.join(met.select("_id").distinct(), "_id", "left_anti")
+            return Solutions(lost.drop("_id"), self.maybe)
         return Solutions(self._without(other, disjoint_matches=True), self.maybe)
 
     def union(self, other: Solutions) -> Solutions:
@@ -317,25 +340,43 @@ def count(var: str, distinct: bool = False) -> Column:
     return literal_term(F.count_distinct(var) if distinct else F.count(var), XSD_INTEGER)
 
 
-def _numeric(var: str, total: Column) -> Column:
-    """An aggregate over numbers; one value that is none makes it an error."""
+def _plain(value: Column) -> Column:
+    """A decimal without trailing zeros."""
+    return F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+
+
+def _typed(var: str, decimals: Column, doubles: Column, integers: Column | None) -> Column:
+    """An aggregate over numbers in the type SPARQL gives it: integers stay
+    integers where `integers` says so, any double makes it a double, and one value
+    that is no number an error. Integers and decimals are added exactly."""
     errors = F.count_if(F.col(var).isNotNull() & number(var).isNull())
-    whole = F.count_if(F.col(f"`{var}`.datatype") != XSD_INTEGER) == 0
-    integral = total.cast("decimal(38,0)")
-    return F.when(
-        errors == 0,
-        F.when(whole & (integral == total), literal_term(integral, XSD_INTEGER)).otherwise(
-            literal_term(total, XSD_DOUBLE)
-        ),
+    kind = F.col(f"`{var}`.datatype")
+    floating = F.count_if(kind.isin(XSD_DOUBLE, XSD_FLOAT))
+    broken = F.count_if(kind == XSD_DECIMAL)
+    zero = literal_term(F.lit("0"), XSD_INTEGER)
+    exact = literal_term(_plain(decimals), XSD_DECIMAL)
+    if integers is not None:
+        exact = F.when(broken == 0, literal_term(integers, XSD_INTEGER)).otherwise(exact)
+    return F.when(F.count(var) == 0, zero).when(
+        errors == 0, F.when(floating > 0, literal_term(doubles, XSD_DOUBLE)).otherwise(exact)
     )
 
 
+def _exact(var: str, kind: str) -> Column:
+    return F.when(number(var).isNotNull(), F.col(f"`{var}`.value").try_cast(kind))
+
+
 def sum_(var: str) -> Column:
-    return _numeric(var, F.coalesce(F.sum(number(var)), F.lit(0.0)))
+    return _typed(
+        var, F.try_sum(_exact(var, "decimal(38,18)")), F.sum(number(var)),
+        F.try_sum(_exact(var, "decimal(38,0)")),
+    )
 
 
 def avg(var: str) -> Column:
-    return _numeric(var, F.coalesce(F.avg(number(var)), F.lit(0.0)))
+    total = F.try_sum(_exact(var, "decimal(38,18)"))
+    mean = F.when(F.count(var) > 0, F.try_divide(total, F.count(var).cast("decimal(20,0)")))
+    return _typed(var, mean, F.avg(number(var)), None)
 
 
 def min_(var: str) -> Column:

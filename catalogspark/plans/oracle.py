@@ -415,9 +415,17 @@ SELECT g, CASE WHEN EXISTS (SELECT 1 FROM quads q WHERE q.p = '{ODRL}hasPolicy'
 FROM {_typed(DCAT + 'Dataset')} t GROUP BY ALL""",
     "literal_aggregates": CATALOG + f"""
 SELECT t, sum(i)::BIGINT AS total, min(i) AS low, max(i) AS high,
-  count(DISTINCT i)::BIGINT AS kinds, round(avg(i), 3) AS mean, t AS some FROM (
+  count(DISTINCT i)::BIGINT AS kinds, round(avg(i), 3) AS mean, t AS some,
+  '{XSD_INTEGER}' AS total_type, 'http://www.w3.org/2001/XMLSchema#decimal' AS mean_type FROM (
   SELECT a.o AS t, CAST(b.o AS BIGINT) AS i FROM {_objects(PROP + 'title')} a
   JOIN {_objects(NS.sequence_index)} b USING (s)) GROUP BY t""",
+    "optional_with_condition": CATALOG + f"""
+SELECT f, count(*)::BIGINT AS n, count(v)::BIGINT AS bound FROM {_objects(DCT + 'format', 'x', 'f')} a
+LEFT JOIN {_objects(DCAT + 'accessService', 'x', 'v')} b ON a.x = b.x AND f IN ('AF', 'NO') GROUP BY f""",
+    "exists_with_condition": CATALOG + f"""
+SELECT v, u FROM {_objects(DCAT + 'endpointURL', 'v', 'u')} a
+SEMI JOIN {_objects(DCAT + 'endpointDescription', 'v', 'e')} b
+  ON a.v = b.v AND ends_with(u, '/3') AND contains(e, 'Supplier')""",
     "term_functions": CATALOG + """
 SELECT p, CASE WHEN o_kind = 'iri' THEN 'true' ELSE 'false' END AS iri,
   CASE WHEN o_datatype = '' THEN 'none' ELSE o_datatype END AS kind,

@@ -457,9 +457,32 @@ def literal_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.df.select(
         P.str_("t").alias("t"), whole("total"), whole("low"), whole("high"), whole("kinds"),
         F.round(P.number("mean"), 3).alias("mean"), P.str_("some").alias("some"),
+        P.datatype("total").alias("total_type"), P.datatype("mean").alias("mean_type"),
     )
 
 
+@query
+def optional_with_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The condition inside the optional group reads a variable outside it."""
+    graph = _catalog_graph(spark, sf_dir)
+    formats = graph.match("?x", DCT + "format", "?f")
+    found = formats.optional(
+        graph.match("?x", DCAT + "accessService", "?v"), P.str_("f").isin("AF", "NO")
+    )
+    grouped = found.group_by("f", n=P.count_all(), bound=P.count("v"))
+    whole = lambda v: P.number(v).cast("bigint").alias(v)
+    return grouped.df.select(P.str_("f").alias("f"), whole("n"), whole("bound"))
+
+
+@query
+def exists_with_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _catalog_graph(spark, sf_dir)
+    described = graph.match("?v", DCAT + "endpointDescription", "?e")
+    return graph.match("?v", DCAT + "endpointURL", "?u").exists(
+        described, F.endswith(P.str_("u"), F.lit("/3")) & P.contains("e", "Supplier")
+    ).values_of("v", "u")
+
+
 @query
 def term_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _catalog_graph(spark, sf_dir).match("?s", "?p", "?o")

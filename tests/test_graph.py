@@ -221,7 +221,26 @@ def test_terms_filters_and_aggregates(spark):
     out = ints.group_by(t=P.sum_("v"), lo=P.min_("v"), hi=P.max_("v"), m=P.avg("v"), c=P.group_concat("s")).df.first()
     assert (out.t.value, out.t.datatype, out.lo.value, out.hi.value, out.m.value, out.c.value) == (
         "12", XSD_INTEGER, "2", "10", "6", "s1 s2")
+    assert (out.m.datatype, out.c.datatype) == (P.XSD_DECIMAL, P.XSD_STRING)
     assert nums.group_by(t=P.sum_("v")).df.first().t is None  # one value that is no number
+    cases = [  # values, sum, mean
+        ([("9007199254740993", XSD_INTEGER), ("1", XSD_INTEGER)], ("9007199254740994", XSD_INTEGER),
+         ("4503599627370497", P.XSD_DECIMAL)),
+        ([("0.10", P.XSD_DECIMAL), ("2", XSD_INTEGER)], ("2.1", P.XSD_DECIMAL), ("1.05", P.XSD_DECIMAL)),
+        ([("0.5", P.XSD_DOUBLE), ("1", XSD_INTEGER)], ("1.5", P.XSD_DOUBLE), ("0.75", P.XSD_DOUBLE)),
+        ([(None, None)], ("0", XSD_INTEGER), ("0", XSD_INTEGER)),
+    ]
+    for values, total, mean in cases:
+        rows = [(text(v, kind) if v else None,) for v, kind in values]
+        got = P.inline_values(spark, ["v"], rows).group_by(t=P.sum_("v"), m=P.avg("v")).df.first()
+        assert (got.t.value, got.t.datatype) == total and (got.m.value, got.m.datatype) == mean
+    same = g.match("?s", "same", "?o")
+    over = P.number("v") > 5  # a variable of the left side
+    assert rows_of(ints.optional(same, over), "svo") == [("s1", "2", "-"), ("s2", "10", "s1")]
+    assert rows_of(ints.exists(same, over), "s") == [("s2",)]
+    assert rows_of(ints.not_exists(same, over), "s") == [("s1",)]
+    with pytest.raises(ValueError):
+        P.regex("v", "a", "q")
     ordered = [r.v.value for r in nums.order_by(P.order_key("v")).df.collect()]
     assert ordered == ["2", "10", "x"]
     joined = nums.values(["s", "v"], [("s1", None), (None, text("x"))])
