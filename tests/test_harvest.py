@@ -204,6 +204,14 @@ def test_stream_keeps_the_last_good_catalog(spark, tmp_path):
     assert held(out) == {"8"}
 
 
+def test_bodies_nested_too_deep_are_refused(spark):
+    bodies = {"at the limit": "[" * 127 + "]" * 127, "past it": "[" * 128 + "]" * 128, "objects": '{"a":' * 128 + "1" + "}" * 128,
+              "in text": '{"a":"' + "[" * 300 + '\\"]"}', "wide": "[" + ",".join(["[[]]"] * 400) + "]"}
+    rows = [(k, 1, at(0), 200, 1, body) for k, body in bodies.items()]
+    checked = R.check_responses(spark.createDataFrame(rows, S.RESPONSES)).collect()
+    assert {r.node_id for r in checked if r.error} == {"past it", "objects"}
+
+
 def test_live_status_matches_batch(spark, log, tmp_path):
     log.write.parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(S.CRAWL_LOG).parquet(str(tmp_path / "log"))
