@@ -344,6 +344,14 @@ SELECT p, count(*)::BIGINT AS n FROM owned
 WHERE (os IS NULL OR os IN (SELECT iri FROM allowed))
   AND (oo IS NULL OR oo IN (SELECT iri FROM allowed)) GROUP BY ALL""",
     # Quads
+    "stored_quads": CATALOG + """
+SELECT g AS graph, p, count(*)::BIGINT AS n, count(DISTINCT s || ' ' || o)::BIGINT AS n_pairs
+FROM quads GROUP BY g, p""",
+    "bindings_json": CATALOG + f"""
+SELECT '{{"v":{{"type":"uri","value":"' || v || '"}},"u":{{"type":"uri","value":"' || u || '"}}'
+  || CASE WHEN e IS NULL THEN '' ELSE ',"e":{{"type":"literal","value":"' || e || '"}}' END || '}}' AS value
+FROM {_objects(DCAT + 'endpointURL', 'v', 'u')} a
+LEFT JOIN {_objects(DCAT + 'endpointDescription', 'w', 'e')} b ON a.v = b.w""",
     "quad_counts_by_predicate": FULL + """
 SELECT p, o_kind, o_datatype, count(*)::BIGINT AS n, count(DISTINCT s)::BIGINT AS n_subjects
 FROM quads GROUP BY ALL""",
@@ -580,6 +588,22 @@ WITH rows AS (
     l_linestatus AS side FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
 SELECT graph, s, o, CASE WHEN min(side) = 'F' THEN 'removed' ELSE 'added' END AS change
 FROM rows GROUP BY graph, s, o HAVING count(*) = 1""",
+    "deleted_nodes": f"""WITH {HOLDINGS}
+SELECT 'nation-' || s_nationkey AS node_id, count(*)::BIGINT AS n_datasets FROM holdings
+WHERE s_nationkey % 5 <> 2 GROUP BY s_nationkey
+UNION ALL SELECT 'nation-' || n_nationkey, -1 FROM nation WHERE n_nationkey % 5 = 2""",
+    "published_snapshot": f"""WITH {HOLDINGS}
+SELECT 'nation-' || s_nationkey AS node_id, count(*)::BIGINT AS n_datasets, snapshot
+FROM holdings, (VALUES ('first'), ('newest')) t(snapshot)
+WHERE snapshot = 'first' OR s_nationkey <> 7 GROUP BY s_nationkey, snapshot""",
+    "skipped_catalogs": """
+SELECT 'nation-' || n_nationkey AS node_id, 'catalog-' || n_regionkey AS catalog_id FROM nation
+WHERE n_nationkey % 4 = 0 OR n_nationkey NOT IN (SELECT s_nationkey FROM supplier)""",
+    "landed_responses": """
+SELECT 'nation-' || user_id % 25 AS node_id, event_type <> 'error' AS ok,
+  CASE WHEN event_type = 'error' THEN 'returned HTTP 500' END AS error,
+  count(*)::BIGINT AS n, max(event_id) AS last_cycle
+FROM events GROUP BY ALL""",
     "completeness": """
 SELECT 'customer-' || coalesce(c_custkey, user_id) AS dataset_id,
   CASE WHEN user_id IS NULL THEN 'missing' ELSE 'unexpected' END AS status
@@ -597,6 +621,11 @@ HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour'
 SELECT 'nation-' || user_id % 25 AS node_id, 'catalog-' || max_by(event_id, (ts, event_id)) AS catalog_id,
   'dataset-' || max_by(event_id, (ts, event_id)) % 7 AS dataset_id
 FROM events WHERE event_type <> 'error' GROUP BY user_id % 25""",
+    "stream_entitlement": f"""
+WITH held AS (SELECT user_id % 25 AS k, max_by(event_id, (ts, event_id)) % 7 AS d
+              FROM events WHERE event_type <> 'error' GROUP BY user_id % 25)
+SELECT class_key, 'nation-' || k AS node_id, '{N}nation-' || k || '/datasets/dataset-' || d AS iri
+FROM held, (VALUES ('AUTOMOBILE'), ('BUILDING'), ('FURNITURE'), ('HOUSEHOLD'), ('MACHINERY')) c(class_key)""",
     "stream_status": """
 SELECT 'nation-' || user_id % 25 AS node_id, epoch_us(max(ts)) AS last_attempt,
   epoch_us(max(ts) FILTER (event_type <> 'error')) AS last_success,
@@ -610,3 +639,4 @@ FROM events GROUP BY ALL
 HAVING last_success_ms + 20000 * 1000
   < (SELECT epoch_us(max(ts)) // 1000 FROM events) - 600000""",
 }
+ORACLES["refreshed_allow_list"] = ORACLES["allow_list"]

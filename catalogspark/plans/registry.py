@@ -18,8 +18,9 @@ from catalogspark.operators.policy import Entitlements, PolicyConfig, entitle
 from catalogspark.schema import DCAT, DCT, NS, ODRL, RDF_TYPE, CatalogTables
 from catalogspark.session import checkpoint_root, cut
 from catalogspark.sources import participants as participant_checks_
+from catalogspark.sources import quads as quads_table
 from catalogspark.sources import responses as R
-from catalogspark.sources import star
+from catalogspark.sources import sinks, star
 from catalogspark.streaming import harvest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,9 +239,52 @@ def visible_quad_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.groupBy("p").agg(F.count("*").alias("n"))
 
 
+@query
+def refreshed_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The allow-list after some nodes grew, rebuilt for those alone."""
+    now = star.tables(spark, sf_dir)
+    grew = F.col("node_id").isin([f"nation-{n}" for n in range(1, 25, 5)])
+    held = {
+        name: df.filter(~grew | ~F.col("dataset_id").endswith("2")) if "dataset_id" in df.columns else df
+        for name, df in vars(now).items()
+    }
+    before = CatalogTables(**held)
+
+    def state(tables: CatalogTables) -> tuple[DataFrame, DataFrame]:
+        entitled = _one_caller(spark, tables)
+        return visibility.node_hashes(tables, entitled.members), visibility.allow_list(tables, entitled)
+
+    def fresh(nodes: DataFrame) -> DataFrame:
+        changed = now.map(lambda _, df: df.join(nodes, "node_id", "left_semi"))
+        return visibility.allow_list(changed, _one_caller(spark, changed))
+
+    hashes, allowed = state(before)
+    now_hashes = visibility.node_hashes(now, _one_caller(spark, now).members)
+    lists = visibility.refresh_allow_list(cut(allowed), cut(hashes), fresh, cut(now_hashes))
+    return lists.select("node_id", "iri")
+
+
 # Quads ----------------------------------------------------------------------------
 
 
+@query
+def stored_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quads written to their table and read back, counted by graph and predicate."""
+    path = f"{checkpoint_root(spark)}/quads-{uuid.uuid4().hex}"
+    quads_table.write_quads(encode.catalog_quads(star.tables(spark, sf_dir)), path)
+    return quads_table.read_quads(spark, path).groupBy("graph", "p").agg(
+        F.count("*").alias("n"), F.count_distinct("s", "o").alias("n_pairs")
+    )
+
+
+@query
+def bindings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole binding objects, one unbound variable left out."""
+    graph = _catalog_graph(spark, sf_dir)
+    urls = graph.match("?v", DCAT + "endpointURL", "?u")
+    return sinks.bindings(urls.optional(graph.match("?v", DCAT + "endpointDescription", "?e")))
+
+
 def _catalog_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(cut(encode.catalog_quads(star.tables(spark, sf_dir))))
 
@@ -594,6 +638,17 @@ def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(R.latest_good(checked))
 
 
+@query
+def landed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses landed as files, read and checked."""
+    path = f"{checkpoint_root(spark)}/landing-{uuid.uuid4().hex}"
+    star.event_responses(spark, sf_dir).write.parquet(path)
+    log = R.crawl_log_of(R.check_responses(R.read_responses(spark, path)))
+    return log.groupBy("node_id", "ok", "error").agg(
+        F.count("*").alias("n"), F.max("cycle_id").alias("last_cycle")
+    )
+
+
 @query
 def response_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = R.check_responses(star.responses(spark, sf_dir, broken=True))
@@ -729,6 +784,40 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.diff_quads(quads("F"), quads("O")).select("graph", "s", "o", "change")
 
 
+@query
+def deleted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each node after some are deleted."""
+    tables = star.tables(spark, sf_dir)
+    gone = [(f"nation-{n}",) for n in [*range(2, 25, 5), 999]]
+    left, removed = snapshot.delete_nodes(tables, spark.createDataFrame(gone, "node_id string"))
+    kept = left.datasets.groupBy("node_id").agg(F.count("*").alias("n_datasets"))
+    return kept.unionByName(removed.select("node_id", F.lit(-1).cast("bigint").alias("n_datasets")))
+
+
+@query
+def published_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published state of all nodes stays as it was when a later one follows."""
+    path = f"{checkpoint_root(spark)}/snapshots-{uuid.uuid4().hex}"
+    tables = star.tables(spark, sf_dir)
+    snapshot.publish(tables, path, 1)
+    gone = spark.createDataFrame([("nation-7",)], "node_id string")
+    snapshot.publish(snapshot.delete_nodes(tables, gone)[0], path, 2)
+    counts = [
+        snapshot.read_snapshot(spark, path, number).datasets.groupBy("node_id")
+        .agg(F.count("*").alias("n_datasets")).withColumn("snapshot", F.lit(name))
+        for number, name in ((1, "first"), (None, "newest"))
+    ]
+    return counts[0].unionByName(counts[1])
+
+
+@query
+def skipped_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    bare = [f"nation-{n}" for n in range(0, 25, 4)]
+    shown = tables.map(lambda name, df: df.filter(~F.col("node_id").isin(bare)) if name == "services" else df)
+    return offers.skipped_catalogs(shown)
+
+
 @query
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers expected to be active against users seen in the events."""
@@ -747,12 +836,12 @@ def stream_cycle_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _harvested(spark: SparkSession, sf_dir: str) -> str:
+def _harvested(spark: SparkSession, sf_dir: str, after=None) -> str:
     """Two landings through the ingest stream: the later one brings crawls that
     were made between those of the first, and some of these again."""
     root = f"{checkpoint_root(spark)}/harvest-{uuid.uuid4().hex}"
     crawls = star.catalog_responses(spark, sf_dir)
-    run = harvest.upsert_batch(star.participants(spark, sf_dir), f"{root}/out", 1 << 20, 30_000)
+    run = harvest.upsert_batch(star.participants(spark, sf_dir), f"{root}/out", 1 << 20, 30_000, after)
     landings = ["cycle_id % 2 = 1", "cycle_id % 2 = 0 or cycle_id % 3 = 0"]
     for i, which in enumerate(landings):
         crawls.filter(which).write.parquet(f"{root}/in/landing={i}")
@@ -769,6 +858,19 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def stream_entitlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The allow-list of static classes after the last batch of the ingest."""
+    lists = f"{checkpoint_root(spark)}/lists-{uuid.uuid4().hex}"
+    classes = spark.createDataFrame(
+        [(s, {"segment": [s]}) for s in star.SEGMENTS], "class_key string, claims map<string,array<string>>"
+    )
+    _harvested(spark, sf_dir, harvest.entitle_after(classes, lists))
+    found = spark.read.parquet(lists)
+    last = found.agg(F.max("batch")).first()[0]
+    return found.filter(F.col("batch") == last).select("class_key", "node_id", "iri")
+
+
 @query
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status and number of attempts from the log that the ingest stream wrote."""
