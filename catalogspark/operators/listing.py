@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogspark.operators.offers import PAGE, WITH_NULLS, joined, policy_texts, quoted
+from catalogspark.operators.paging import behind
 from catalogspark.schema import DATASET_KEY, CatalogTables
 
 
@@ -14,10 +15,10 @@ def list_catalogs(
 ) -> DataFrame:
     """By catalog id, then node; skip `offset`, then take `limit`."""
     df = catalogs if node_id is None else catalogs.filter(F.col("node_id") == node_id)
-    df = df.orderBy("catalog_id", "node_id")
-    if offset:
-        df = df.offset(offset)
-    return df if limit is None else df.limit(limit)
+    order = ["catalog_id", "node_id"]
+    if limit is None:
+        return behind(df, offset, *order) if offset else df.orderBy(*order)
+    return df.orderBy(*order).offset(offset).limit(limit)
 
 
 def node_tables(tables: CatalogTables, node_id: str) -> CatalogTables:

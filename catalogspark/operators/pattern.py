@@ -14,6 +14,7 @@ from itertools import chain, combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalogspark.operators.paging import behind
 from catalogspark.schema import DCAT, RDF_TYPE, XSD_INTEGER, XSD_STRING
 from catalogspark.session import cut
 
@@ -159,11 +160,12 @@ def _subsets(names: list[str]):
 @dataclass(frozen=True)
 class Solutions:
     """`df` has one column per variable; `maybe` lists those that may be unbound;
-    `inline` rows are written out in the query."""
+    `inline` rows are written out in the query; `order` is how they are sorted."""
 
     df: DataFrame
     maybe: frozenset[str] = field(default_factory=frozenset)
     inline: bool = False
+    order: tuple[Column, ...] = ()
 
     @property
     def vars(self) -> list[str]:
@@ -304,9 +306,11 @@ class Solutions:
         return Solutions(self.df.distinct(), self.maybe)
 
     def order_by(self, *columns: Column) -> Solutions:
-        return Solutions(self.df.orderBy(*columns), self.maybe)
+        return Solutions(self.df.orderBy(*columns), self.maybe, order=columns)
 
     def slice(self, offset: int = 0, limit: int | None = None) -> Solutions:
+        if offset and limit is None:
+            return Solutions(behind(self.df, offset, *(self.order or self.vars)), self.maybe)
         df = self.df.offset(offset) if offset else self.df
         return Solutions(df if limit is None else df.limit(limit), self.maybe)
 

@@ -243,6 +243,9 @@ def test_terms_filters_and_aggregates(spark):
         P.regex("v", "a", "q")
     ordered = [r.v.value for r in nums.order_by(P.order_key("v")).df.collect()]
     assert ordered == ["2", "10", "x"]
+    for skip in range(5):
+        rest = nums.order_by(P.order_key("v").desc()).slice(skip).df.collect()
+        assert [r.v.value for r in rest] == ["x", "10", "2"][skip:]
     joined = nums.values(["s", "v"], [("s1", None), (None, text("x"))])
     assert rows_of(joined, "sv") == [("s1", "2"), ("s3", "x")]
     body = json.loads(sinks.results_json(nums.slice(0, 1).bind("u", F.lit(None).cast(P.TERM)), 5))
