@@ -92,7 +92,8 @@ def _describe(size: int, percent: int, counts):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = counts.value
         for batch in slices(batches, 1):
-            n, sig1, sig2, ends, prefixes, bits = [], [], [], [0], [], []
+            n, ends, prefixes, bits = [], [0], [], []
+            sig1, sig2, p1, p2 = [], [], [], []
             for own in sets(Words(batch.column(1), BLANKS), size):
                 n.append(len(own))
                 first, second = _signature(own)
@@ -101,16 +102,19 @@ def _describe(size: int, percent: int, counts):
                 keep = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
                 order = np.argsort(table_[(own & U(COUNTERS - 1)).astype(np.int64)], kind="stable")[:keep]
                 prefixes.append(own[order].view(np.int64))
+                first, second = _signature(own[order])
+                p1.append(first)
+                p2.append(second)
                 ends.append(ends[-1] + keep)
                 bits.append(_parity(own))
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(n, pa.int64()), pa.array(sig1, pa.int64()), pa.array(sig2, pa.int64()),
+                    batch.column(0), *(pa.array(x, pa.int64()) for x in (n, sig1, sig2, p1, p2)),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64())),
                     pa.array(bits, pa.binary()),
                 ],
-                ["doc_id", "n", "sig1", "sig2", "prefix", "bits"],
+                ["doc_id", "n", "sig1", "sig2", "p1", "p2", "prefix", "bits"],
             )
 
     return run
@@ -176,17 +180,19 @@ class _Join:
         self.context = docs.sparkSession.sparkContext
 
     def described(self) -> DataFrame:
+        """A row for each document: its set's size, signature, prefix (with a
+        signature of its own) and bitmap."""
         counts = self.context.broadcast(rarity(self.docs, self.size))
         return cut(
             self.docs.mapInArrow(
                 _describe(self.size, self.percent, counts),
-                "doc_id long, n long, sig1 long, sig2 long, prefix array<long>, bits binary",
-            )
+                "doc_id long, n long, sig1 long, sig2 long, p1 long, p2 long, prefix array<long>, bits binary",
+            ).withColumn("row", F.monotonically_increasing_id())
         )
 
-    def verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose whole sets reach the threshold."""
-        bits = classes.select("node", "n", "bits")
+        bits = rows.select(F.col("row").alias("node"), "n", "bits")
         left = bits.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
         right = bits.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
         close = cut(
@@ -213,12 +219,14 @@ class _Join:
         both = F.size(F.array_intersect("x", "y"))
         return checked.filter(both * (100 + self.percent) >= self.percent * (F.size("x") + F.size("y"))).select("a", "b")
 
-    def links(self, classes: DataFrame) -> DataFrame:
+    def links(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
         """Pairs (a, b) of nodes above the threshold that connect all that the
-        threshold connects."""
-        groups = classes.groupBy("n", "prefix").agg(F.min("node").alias("gid"), F.count("*").alias("m"))
-        members = cut(classes.join(groups.filter("m > 1"), ["n", "prefix"]).select("gid", "node"))
-        posted = groups.select("gid", "n", F.posexplode("prefix").alias("at", "token"))
+        threshold connects. Nodes and groups are named by the row of a document,
+        so prefixes and bitmaps are read from `rows` and kept nowhere else."""
+        groups = classes.groupBy("n", "p1", "p2").agg(F.min("node").alias("gid"), F.count("*").alias("m"))
+        members = cut(classes.join(groups.filter("m > 1"), ["n", "p1", "p2"]).select("gid", "node"))
+        posted = rows.select(F.col("row").alias("gid"), "n", "prefix").join(groups.select("gid"), "gid", "left_semi")
+        posted = posted.select("gid", "n", F.posexplode("prefix").alias("at", "token"))
         tokens = posted.groupBy("token").agg(
             F.min(F.struct("at", "gid", "n")).alias("top"), F.count("*").alias("c")
         )
@@ -230,7 +238,7 @@ class _Join:
             .select(F.least("top.gid", "gid").alias("a"), F.greatest("top.gid", "gid").alias("b"))
         )
         tried = cut(pairs.union(members.filter("gid <> node").select("gid", "node")).distinct())
-        near = cut(self.verified(tried, classes))
+        near = cut(self.verified(tried, rows, classes))
         comps = components(near)
 
         # members of buckets that are still in several components
@@ -260,7 +268,7 @@ class _Join:
             .filter(_possible(self.percent, col("n1"), col("n2"), col("at1"), col("at2")))
             .select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         )
-        return near.union(cut(self.verified(pairs, classes)))
+        return near.union(cut(self.verified(pairs, rows, classes)))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -281,13 +289,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     rows = job.described()
     classes = cut(
         rows.filter("n > 0").groupBy("n", "sig1", "sig2")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-        .withColumn("node", F.monotonically_increasing_id())
+        .agg(F.min(F.struct("row", "doc_id", "p1", "p2")).alias("of"), F.min("doc_id").alias("low"))
+        .select("n", "sig1", "sig2", F.col("of.row").alias("node"), "of.doc_id", "of.p1", "of.p2", "low")
     )
-    comps = components(job.links(classes))
-    named = classes.select("n", "sig1", "sig2", "doc_id", "node").join(comps, "node", "left")
+    comps = components(job.links(rows, classes))
+    named = classes.select("n", "sig1", "sig2", "low", "node").join(comps, "node", "left")
     named = named.withColumn("comp", F.coalesce("comp", "node"))
-    smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    smallest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = named.join(smallest, "comp").select("n", "sig1", "sig2", "component_id")
     return rows.select("doc_id", "n", "sig1", "sig2").join(named, ["n", "sig1", "sig2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
