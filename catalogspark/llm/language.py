@@ -25,6 +25,8 @@ BUCKETS, SIZES = 1 << 15, (1, 2, 3)
 #: that is broadcast has a bound.
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
+#: Buckets that are added up together.
+PART = 1 << 10
 #: Characters scored at a time.
 CHARS = 1 << 18
 
@@ -102,11 +104,13 @@ def _add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts += np.bincount(of[first + numbers] * BUCKETS + buckets, minlength=len(counts))
         for lang, k in names.items():
             total[lang] = total.get(lang, 0) + counts[k * BUCKETS : (k + 1) * BUCKETS]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.string()), pa.array([rows[x] for x in total], pa.int64()),
-         pa.array([total[x].astype("<i8").tobytes() for x in total], pa.binary())],
-        ["lang", "rows", "counts"],
-    )
+    for lang, counts in total.items():
+        parts = counts.astype("<i8").reshape(-1, PART)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(parts), pa.string()), pa.array(np.arange(len(parts)), pa.int64()),
+             pa.array([rows[lang]] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
+            ["lang", "part", "rows", "counts"],
+        )
 
 
 def _sum_up(pdf):
@@ -117,15 +121,20 @@ def _sum_up(pdf):
 def train(labelled: DataFrame, alpha: float = 0.1) -> Model:
     """A model of all (text, lang) rows whose lang isn't null. Without such rows it
     has no language; of more than MAX_LANGUAGES it has the most frequent."""
-    schema = "lang string, rows long, counts binary"
+    schema = "lang string, part long, rows long, counts binary"
     labelled = labelled.select("text", "lang").filter("lang is not null")
     common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     common = [row.lang for row in common.collect()]
-    found = labelled.filter(F.col("lang").isin(common)).mapInArrow(_add_up, schema).groupBy("lang").applyInPandas(_sum_up, schema)
-    found = sorted(found.collect(), key=lambda row: row.lang)
-    counts = np.array([np.frombuffer(r.counts, "<i8") for r in found], float).reshape(len(found), BUCKETS).T + alpha
-    rows = np.array([r.rows for r in found], float)
-    return Model([r.lang for r in found], np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(rows / max(1, rows.sum())))
+    found = labelled.filter(F.col("lang").isin(common)).mapInArrow(_add_up, schema).groupBy("lang", "part").applyInPandas(_sum_up, schema)
+    found = found.collect()  # at most MAX_LANGUAGES times BUCKETS numbers
+    rows_of = {r.lang: r.rows for r in found}
+    langs = sorted(rows_of)
+    counts = np.full((len(langs), BUCKETS // PART, PART), float(alpha))
+    for r in found:
+        counts[langs.index(r.lang), r.part] += np.frombuffer(r.counts, "<i8")
+    counts = counts.reshape(len(langs), BUCKETS).T
+    rows = np.array([rows_of[lang] for lang in langs], float)
+    return Model(langs, np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(rows / max(1, rows.sum())))
 
 
 def _score(model):
