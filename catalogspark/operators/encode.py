@@ -19,6 +19,7 @@ from catalogspark.schema import (
     CatalogTables,
     Namespace,
 )
+from catalogspark.session import cut
 
 SEGMENT = {"permission": "permissions", "prohibition": "prohibitions", "obligation": "obligations"}
 
@@ -90,7 +91,7 @@ def refused_nodes(constraints: DataFrame) -> DataFrame:
 
 def drop_refused(tables: CatalogTables) -> CatalogTables:
     """Leave out every table row of the refused nodes."""
-    refused = refused_nodes(tables.constraints).select("node_id")
+    refused = cut(refused_nodes(tables.constraints).select("node_id"))  # read once for each table
     return tables.map(lambda _, df: df.join(refused, "node_id", "left_anti"))
 
 
