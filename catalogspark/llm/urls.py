@@ -82,12 +82,20 @@ def decide(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 def unigrams(names: DataFrame, texts: DataFrame, seeds) -> Unigrams:
     """Counts of words (runs of ASCII letters) in all of `texts` and of the short
-    tokens of all of `names`; the most frequent VOCABULARY make the model."""
+    tokens of all of `names`. The model holds the most frequent, at most VOCABULARY
+    and whole levels of counts, so only these reach the driver."""
     lower = lambda c: F.translate(F.coalesce(c, F.lit("")), _UPPER, _LOWER)
     words = texts.select(F.explode(F.split(lower(F.col(texts.columns[0])), "[^a-z]+")).alias("word"))
     tokens = names.select(F.explode(F.split(lower(F.concat_ws("/", *names.columns)), "[^a-z]+")).alias("word"))
     counted = words.union(tokens).filter(F.length("word").between(2, LONGEST)).groupBy("word").count()
-    top = counted.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()
+    counted = cut(counted.withColumn("level", F.floor(64 * F.log("count"))))
+    least, taken = None, 0
+    for level in counted.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        taken += level.n
+        if taken > VOCABULARY:
+            break
+        least = level.level
+    top = counted.filter(F.col("level") >= least).collect() if least is not None else []
     counts = {r.word: r["count"] for r in top}
     for seed in seeds:
         counts[seed] = max(counts.get(seed, 0), 1 + max(counts.values(), default=0) // 1000)
