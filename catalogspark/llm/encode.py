@@ -27,6 +27,21 @@ CHARS = 500_000
 CALL = 2_000
 
 _ODD_BLANK = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
+#: Other white space of ASCII, and what the bytes of wider white space begin with.
+_CONTROLS = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+
+
+def _odd_blanks(data: bytes) -> bool:
+    """Whether _ODD_BLANK is found; only texts that may hold wide white space
+    are searched by it."""
+    if data[0] in b" \n" or data[-1] in b" \n" or any(p in data for p in (b"  ", b"\n\n", b" \n", b"\n ")):
+        return True
+    if len(data.translate(None, _CONTROLS)) < len(data):
+        return True
+    return not data.isascii() and any(w in data for w in _WIDE) and bool(_ODD_BLANK.search(data.decode()))
+
+
 _LATIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 #: ASCII marks that are a pre-token of their own behind a letter. The apostrophe
 #: isn't one: it may begin an ending such as 's.
@@ -80,9 +95,10 @@ class Encoder:
         pre-token. A piece with a leading blank here stands for the word without
         it, one with a leading line feed for that and the word, others for a
         blank and the word."""
-        if not text or _ODD_BLANK.search(text) or any(s in text for s in self.special):
+        data = text.encode()
+        if not data or _odd_blanks(data) or any(s in text for s in self.special):
             return None
-        pieces = text.encode().replace(b"\n", b" \n").split(b" ")
+        pieces = data.replace(b"\n", b" \n").split(b" ")
         pieces[0] = b" " + pieces[0]
         return pieces
 

@@ -50,15 +50,25 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
-def _signs(n: int) -> np.ndarray:
-    """Row i: token i's vote in each dimension, from a hash."""
+def _votes(n: int) -> list[np.ndarray]:
+    """Token i's votes, 0 to 255 in each dimension, from a hash; two dimensions
+    share an integer, 32 bits apart, so that they are added up together."""
     hashed = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.stack([(hashed >> np.uint64(8 * d) & np.uint64(255)).astype(np.float32) / 127.5 - 1 for d in range(DIMENSIONS)], axis=1)
-
-
-def _points(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
-    """Mean votes, spread over the range of coordinates."""
-    means = np.array([signs[i].mean(axis=0, dtype=float) for i in ids]).reshape(-1, DIMENSIONS)
+    votes = [hashed >> np.uint64(8 * d) & np.uint64(255) for d in range(DIMENSIONS)]
+    return [low | high << np.uint64(32) for low, high in zip(votes[::2], votes[1::2])]
+
+
+def _points(ids: list[np.ndarray], votes: list[np.ndarray]) -> np.ndarray:
+    """Mean votes, spread over the range of coordinates. A sum holds the votes of
+    16 million tokens; longer texts are added up in parts."""
+    sums = np.zeros((len(ids), DIMENSIONS))
+    for row, own in zip(sums, ids):
+        for start in range(0, len(own), 1 << 24):
+            for pair, lanes in enumerate(votes):
+                total = int(lanes[own[start : start + (1 << 24)]].sum())
+                row[2 * pair] += total & 0xFFFFFFFF
+                row[2 * pair + 1] += total >> 32
+    means = sums / np.array([len(own) for own in ids] or [1])[:, None] / 127.5 - 1
     return ((0.5 + 0.5 * np.tanh(6 * means)) * ((1 << BITS) - 1)).astype(np.int64)
 
 
@@ -67,13 +77,13 @@ def _encode(path: str, end: int):
         import zstandard
 
         own = encoder(path)
-        signs = _signs(max(own.library.get_vocab_size(), end + 1))
+        votes = _votes(max(own.library.get_vocab_size(), end + 1))
         press = zstandard.ZstdCompressor(level=1).compress
         closing = np.array([end], "<u4").tobytes()
         for batch in slices(batches, 1):
             ids = [np.frombuffer(i + closing, "<u4") for i in own.encode(batch.column(1).to_pylist())]
-            keys = hilbert(_points(ids, signs), BITS)
-            small = np.uint16 if len(signs) <= 1 << 16 else np.uint32
+            keys = hilbert(_points(ids, votes), BITS)
+            small = np.uint16 if len(votes[0]) <= 1 << 16 else np.uint32
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(keys), pa.array([len(i) for i in ids], pa.int64()),
