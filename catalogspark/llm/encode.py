@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Pieces a worker remembers; the cache is emptied when it is full.
-CACHE_PIECES = 1_400_000
+CACHE_PIECES = 600_000
 #: A longer piece isn't remembered, so the cache is bounded in bytes.
 PIECE_BYTES = 64
 #: Characters of the texts whose new pieces go to the library together.
