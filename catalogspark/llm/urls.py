@@ -31,6 +31,9 @@ SEEDS = [
 VOCABULARY, LONGEST = 50_000, 24
 #: Buckets of hashed words in naive Bayes.
 BUCKETS = 1 << 16
+#: What stands between words of a page: tags, what follows the scheme of a URL, and
+#: all but ASCII letters.
+BETWEEN = "<[^<>]*>|://[^\\s<>\"']*|[^a-z<:]+|[<:]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,14 +83,14 @@ def decide(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return name, verdict
 
 
-def unigrams(names: DataFrame, texts: DataFrame, seeds) -> Unigrams:
-    """Counts of words (runs of ASCII letters) in all of `texts` and of the short
-    tokens of all of `names`. The model holds the most frequent, at most VOCABULARY
+def unigrams(texts: DataFrame, seeds) -> Unigrams:
+    """Counts of words (runs of ASCII letters) in all of `texts`, outside tags and
+    URLs. Names don't count: they aren't segmented yet, and a host's many paths
+    would make one word of it. The model holds the most frequent, at most VOCABULARY
     and whole levels of counts, so only these reach the driver."""
-    lower = lambda c: F.translate(F.coalesce(c, F.lit("")), _UPPER, _LOWER)
-    words = texts.select(F.explode(F.split(lower(F.col(texts.columns[0])), "[^a-z]+")).alias("word"))
-    tokens = names.select(F.explode(F.split(lower(F.concat_ws("/", *names.columns)), "[^a-z]+")).alias("word"))
-    counted = words.union(tokens).filter(F.length("word").between(2, LONGEST)).groupBy("word").count()
+    lower = F.translate(F.coalesce(F.col(texts.columns[0]), F.lit("")), _UPPER, _LOWER)
+    words = texts.select(F.explode(F.split(lower, BETWEEN)).alias("word"))
+    counted = words.filter(F.length("word").between(2, LONGEST)).groupBy("word").count()
     counted = cut(counted.withColumn("level", F.floor(64 * F.log("count"))))
     least, taken = None, 0
     for level in counted.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
@@ -146,7 +149,7 @@ def judge(
     rule, verdict = decide(F.col("host"), F.col("path"), rules)
     rows = cut(rows.withColumn("rule", rule).withColumn("said", verdict))
     names = cut(rows.groupBy("host", "path", "rule", "said").agg(F.count("*").alias("n")).withColumn("name", F.monotonically_increasing_id()))
-    model = context.broadcast(unigrams(names.select("host", "path"), pages.select("html"), seeds))
+    model = context.broadcast(unigrams(pages.select("html"), seeds))
 
     tokens = F.filter(
         F.split(F.translate(F.concat_ws("/", "host", "path"), _UPPER, _LOWER), "[^a-z]+"), lambda t: F.length(t) > 0

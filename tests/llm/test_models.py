@@ -126,6 +126,17 @@ def test_segmentation():
     assert model.split("") == [] and model.split("qq") == ["qq"]
 
 
+def test_names_split_alike_however_many_paths(spark):
+    html = "<a href='http://casinowin.biz/'>" + "casino win spam farm the " * 200 + "http://casinowin.biz/x</a>" * 300
+    rows = [(i, f"http://casinowin.biz/{i}", None) for i in range(500)]
+    rows += [(1000, "http://spamfarm.biz/1", html), (1001, "http://thecasino.biz/1", None), (1002, "http://x.org/fr/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    assert {tuple(got[i].words[:2]) for i in range(500)} == {("casino", "win")}
+    assert got[1000].words[:2] == ["spam", "farm"] and got[1001].words[:2] == ["the", "casino"]
+    assert {r.verdict for i, r in got.items() if i != 1002} == {"block"}
+
+
 def test_licences(spark, odd, none):
     r = random.Random(4)
     texts = [(t.doc_id, t.text) for t in odd.collect()]
