@@ -27,8 +27,8 @@ RULES = [
 SEEDS = [
     "ads", "adult", "bet", "bets", "casino", "cheap", "farm", "free", "pills", "porn", "spam", "track", "win", "xxx",
 ]
-#: Words of the unigram model, the most frequent ones, and their longest length.
-VOCABULARY, LONGEST = 50_000, 24
+#: Longest word of the unigram model.
+LONGEST = 24
 #: Buckets of hashed words in naive Bayes.
 BUCKETS = 1 << 16
 #: What stands between words of a page: tags, what follows the scheme of a URL, and
@@ -83,50 +83,55 @@ def decide(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return name, verdict
 
 
-def unigrams(texts: DataFrame, seeds) -> Unigrams:
-    """Counts of words (runs of ASCII letters) in all of `texts`, outside tags and
-    URLs. Names don't count: they aren't segmented yet, and a host's many paths
-    would make one word of it. The model holds the most frequent, at most VOCABULARY
-    and whole levels of counts, so only these reach the driver."""
+def unigrams(texts: DataFrame, seeds) -> tuple[DataFrame, float]:
+    """(word, cost) of all words (runs of ASCII letters) in all of `texts`, outside
+    tags and URLs, and the cost of an unknown character. Names don't count: they
+    aren't segmented yet, and a host's many paths would make one word of it. Only
+    the highest count and the sum of counts reach the driver."""
     lower = F.translate(F.coalesce(F.col(texts.columns[0]), F.lit("")), _UPPER, _LOWER)
-    words = texts.select(F.explode(F.split(lower, BETWEEN)).alias("word"))
-    counted = words.filter(F.length("word").between(2, LONGEST)).groupBy("word").count()
-    counted = cut(counted.withColumn("level", F.floor(64 * F.log("count"))))
-    least, taken = None, 0
-    for level in counted.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
-        taken += level.n
-        if taken > VOCABULARY:
-            break
-        least = level.level
-    top = counted.filter(F.col("level") >= least).collect() if least is not None else []
-    counts = {r.word: r["count"] for r in top}
-    for seed in seeds:
-        counts[seed] = max(counts.get(seed, 0), 1 + max(counts.values(), default=0) // 1000)
-    total = sum(counts.values())
+    words = texts.select(F.explode(F.split(lower, BETWEEN)).alias("word")).filter(F.length("word").between(2, LONGEST))
+    own = texts.sparkSession.createDataFrame([(s,) for s in seeds], "word string")
+    counted = cut(
+        words.withColumn("n", F.lit(1)).union(own.withColumn("n", F.lit(0))).groupBy("word").agg(F.sum("n").alias("n"))
+    )
+    least = 1 + (counted.agg(F.max("n")).first()[0] or 0) // 1000
+    raised = F.when(F.col("word").isin(list(seeds)), F.greatest("n", F.lit(least))).otherwise(F.col("n"))
+    counted = counted.select("word", raised.alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
     # a word's length counts, so that a long known word beats its short pieces
-    cost = {w: float(np.log(total / n)) for w, n in counts.items()}
-    return Unigrams(cost, float(np.log(total + 1)))
-
+    cost = F.log(F.lit(float(total or 1))) - F.log("n")
+    return counted.select("word", cost.alias("cost")), float(np.log(total + 1))
 
-def _segment(model):
-    """Names with the distinct words of their tokens; each token is split once."""
 
+def _split(unknown: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[str]] = {}
         for batch in batches:
-            out = []
-            for tokens in batch.column(1).to_pylist():
-                if len(seen) >= 100_000:
-                    seen.clear()
-                for token in tokens:
-                    if token not in seen:
-                        seen[token] = model.value.split(token)
-                out.append(list(dict.fromkeys(word for token in tokens for word in seen[token])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["name", "words"])
+            words = [
+                Unigrams({k["word"]: k["cost"] for k in known or []}, unknown).split(token)
+                for token, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["token", "words"])
 
     return run
 
 
+def segment(names: DataFrame, words: DataFrame, unknown: float) -> DataFrame:
+    """`names` (name, tokens) -> (name, words), the distinct words of each name with
+    tokens. Each distinct token is split once, by the words among its substrings."""
+    own = cut(names.select("name", F.posexplode("tokens").alias("at", "token")))
+    distinct = cut(own.select("token").distinct().withColumn("id", F.monotonically_increasing_id()))
+    ends = F.transform(
+        F.sequence(F.lit(1), F.length("token")), lambda at: F.substring(F.col("token"), at, F.lit(LONGEST))
+    )
+    starts = F.transform(F.sequence(F.lit(1), F.length("end")), lambda n: F.left(F.col("end"), n))
+    found = distinct.select("id", F.explode(ends).alias("end")).select("id", F.explode(starts).alias("word")).distinct()
+    known = found.join(words, "word").groupBy("id").agg(F.collect_list(F.struct("word", "cost")).alias("known"))
+    split = distinct.join(known, "id", "left").select("token", "known")
+    split = cut(split.mapInArrow(_split(unknown), "token string, words array<string>"))
+    bags = own.join(split, "token").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("all"))
+    return bags.select("name", F.array_distinct(F.flatten("all.words")).alias("words"))
+
+
 def judge(
     pages: DataFrame, rules=RULES, seeds=SEEDS, alpha: float = 0.5
 ) -> DataFrame:
@@ -149,13 +154,14 @@ def judge(
     rule, verdict = decide(F.col("host"), F.col("path"), rules)
     rows = cut(rows.withColumn("rule", rule).withColumn("said", verdict))
     names = cut(rows.groupBy("host", "path", "rule", "said").agg(F.count("*").alias("n")).withColumn("name", F.monotonically_increasing_id()))
-    model = context.broadcast(unigrams(pages.select("html"), seeds))
+    words, unknown = unigrams(pages.select("html"), seeds)
 
     tokens = F.filter(
         F.split(F.translate(F.concat_ws("/", "host", "path"), _UPPER, _LOWER), "[^a-z]+"), lambda t: F.length(t) > 0
     )
-    bags = names.select("name", tokens.alias("tokens")).mapInArrow(_segment(model), "name long, words array<string>")
-    named = cut(names.join(bags, "name"))
+    bags = segment(names.select("name", tokens.alias("tokens")), words, unknown)
+    none = F.array().cast("array<string>")
+    named = cut(names.join(bags, "name", "left").withColumn("words", F.coalesce("words", none)))
 
     seeded = F.arrays_overlap("words", F.array(*[F.lit(s) for s in seeds]))
     label = F.when(seeded, "block").otherwise(F.col("said"))

@@ -137,6 +137,15 @@ def test_names_split_alike_however_many_paths(spark):
     assert {r.verdict for i, r in got.items() if i != 1002} == {"block"}
 
 
+def test_names_of_rare_words_split_whatever_the_table(spark):
+    r = random.Random(6)
+    many = ["jx" + "".join(r.choice("jxqvw") for _ in range(10)) for _ in range(60_000)]
+    rows = [(1, "http://quokkazephyr.biz/", " ".join(many * 2) + " quokka zephyr"), (2, "http://" + "quokka" * 500, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.words for r in urls.judge(df).collect()}
+    assert got[1][:2] == ["quokka", "zephyr"] and got[2] == ["quokka"]
+
+
 def test_licences(spark, odd, none):
     r = random.Random(4)
     texts = [(t.doc_id, t.text) for t in odd.collect()]
