@@ -4,7 +4,8 @@ edits.
 A notice matched with at most k edits holds one of any k + 1 pieces of it
 unchanged. Those pieces are searched exactly in a text's words joined by single
 blanks; around each place found, the regex library looks for the whole notice
-within k edits and gives its span.
+within k edits and gives its span. Words that tell one licence from another are
+matched exactly, and edits fall on the rest.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ NOTICES = {
     "redistribution and use in source and binary forms": "bsd",
     "all rights reserved": "reserved",
 }
+#: Words of notices that must stand unchanged: with edits they name another licence
+#: (`bsd` and `gpl` for `mit`, `by sa` for `by nc`).
+EXACT = {"released under the mit license": "mit", "licensed under cc by nc": "nc"}
 #: One edit is allowed for so many characters of a notice.
 CHARACTERS_AN_EDIT = 9
 
@@ -55,15 +59,28 @@ def pieces(notice: bytes, edits: int) -> list[tuple[int, bytes]]:
 
 
 class Notice:
-    def __init__(self, text: str, label: str):
+    def __init__(self, text: str, label: str, exact: str | None = None):
         import regex
 
         self.text, self.label = text.encode(), label
         self.edits = len(self.text) // CHARACTERS_AN_EDIT
         self.seeds = pieces(self.text, self.edits)
-        whole = regex.escape(self.text, special_only=True)
         # a match begins and ends with whole words of the text
-        self.pattern = regex.compile(rb"(?be)(?<![^ ])(?:" + whole + rb"){e<=%d}(?![^ ])" % self.edits)
+        found = [b"(?:%s){e<=%d}" % (regex.escape(self.text, special_only=True), self.edits)]
+        if exact:
+            word = exact.encode()
+            at = (b" " + self.text + b" ").index(b" " + word + b" ")
+            ways = [(e, self.edits - e) for e in range(self.edits + 1)]
+            ends = self.text[:at], self.text[at + len(word):]
+            if not all(ends):
+                ways = [(self.edits, self.edits)]
+            before, after = (regex.escape(end, special_only=True) for end in ends)
+            word = rb"(?<![^ ])" + regex.escape(word, special_only=True) + rb"(?![^ ])"
+            found = [
+                (b"(?:%s){e<=%d}" % (before, e) if before else b"") + word + (b"(?:%s){e<=%d}" % (after, f) if after else b"")
+                for e, f in ways
+            ]
+        self.pattern = regex.compile(rb"(?be)(?<![^ ])(?:" + b"|".join(found) + rb")(?![^ ])")
 
     def windows(self, text: bytes) -> list[tuple[int, int]]:
         """Merged stretches of the text that hold every match."""
@@ -106,7 +123,7 @@ def _scan(phrases: dict[str, str], notices: dict[str, str]):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact = [(p.encode(), label) for p, label in phrases.items()]
-        fuzzy = [Notice(text, label) for text, label in notices.items()]
+        fuzzy = [Notice(text, label, EXACT.get(text)) for text, label in notices.items()]
         for batch in slices(batches, 1):
             out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base", "labels", "score", "spans")}
             for value in batch.column(1).to_pylist():
@@ -141,9 +158,9 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
 
     Places of the phrases' words give the base columns (first_word and last_word
     are null without any). `spans` are the notices found within their number of
-    edits, as (label, start, end, similarity) in bytes of the normalised text;
-    `labels` joins both kinds. score is 1 for a base phrase, else the best
-    similarity, 1 - edits / length, else 0.
+    edits, their words of EXACT unchanged, as (label, start, end, similarity) in
+    bytes of the normalised text; `labels` joins both kinds. score is 1 for a base
+    phrase, else the best similarity, 1 - edits / length, else 0.
 
     A null, empty or wordless text has no words, no labels, score 0. A text is
     searched whole, however long. Rows may repeat and doc_id may be null; other

@@ -187,3 +187,16 @@ def test_licences(spark, odd, none):
         for s in g.spans:
             assert 0 <= s.start < s.end <= len(licenses.normal(text))
     assert licenses.scan_licenses(none).collect() == []
+
+
+def test_other_licences_are_not_taken_for_known_ones(spark):
+    rows = [
+        ("released under the bsd license", ""), ("released under the gpl license", ""), ("released under the isc license", ""),
+        ("licensed under cc by sa", ""), ("licensed under cc by nd 4 0", ""), ("licensed under cc by 4 0", ""), ("licensed under cc by", ""),
+        ("Releasd under tha MIT license", "mit"), ("released under the mit licence", "mit"), ("Licensd unter CC BY-NC", "cc-by-nc"),
+        ("released under the bsd license, or released under the mit licens", "mit"), ("released under the permit license", ""),
+    ]
+    df = spark.createDataFrame([(i, f"a b {t}") for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {g.doc_id: g for g in licenses.scan_licenses(df).collect()}
+    assert [got[i].labels for i in range(len(rows))] == [want for _, want in rows]
+    assert all((got[i].score > 0) == bool(want) for i, (_, want) in enumerate(rows))
