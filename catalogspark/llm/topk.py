@@ -31,17 +31,17 @@ PIVOTS, RINGS = 16, 16
 FIRST = 1024
 #: Vectors and queries of an annulus that meet in one task.
 VECTORS, QUERIES = 2048, 512
-#: Scaled components beyond this take no part, so products fit a long.
-LARGEST = 1 << 26
+#: Scores are longs; these stand for all beyond them, on either side.
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 #: Stands for a null vec_id, behind all others.
 NO_ID = (1 << 63) - 1
 
 
 def _matrix(values: Iterable[bytes], width: int) -> np.ndarray:
     """Vectors of up to `width` components, filled with zeros."""
-    whole = np.zeros((len(values), width), np.int64)
+    whole = np.zeros((len(values), width))
     for row, value in zip(whole, values):
-        own = np.frombuffer(value, "<i8")
+        own = np.frombuffer(value, "<f8")
         row[: len(own)] = own
     return whole
 
@@ -50,9 +50,11 @@ def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed, norms = [], []
         for own in batch.column(1).to_pylist():
-            own = np.array(own, "<i8")
+            own = np.floor(np.array(own, "<f8"))  # whole numbers of any size
             packed.append(own.tobytes())
-            norms.append(float((own.astype(float) ** 2).sum()))
+            norms.append(float((own**2).sum()))
+            if not np.isfinite(norms[-1]):
+                raise OverflowError("the square of a vector's norm is beyond a double")
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(packed, pa.binary()), pa.array(norms, pa.float64()),
              pa.array([len(p) // 8 for p in packed], pa.int32())],
@@ -60,11 +62,29 @@ def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Integer inner products; by floats where these are exact."""
-    if x.size and y.size and float(np.abs(x).max()) * float(np.abs(y).max()) * x.shape[1] < 2**53:
-        return (x.astype(float) @ y.astype(float).T).astype(np.int64)
-    return x @ y.T
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
+    """Integer inner products; by floats where these are exact. None where they
+    may not fit a long."""
+    most = float(np.abs(x).max()) * float(np.abs(y).max()) * x.shape[1] if x.size and y.size else 0
+    largest = max(float(np.abs(z).max()) if z.size else 0 for z in (x, y))
+    if most >= 2**62 or largest >= 2**62:
+        return None
+    if most < 2**53:
+        return (x @ y.T).astype(np.int64)
+    return x.astype(np.int64) @ y.astype(np.int64).T
+
+
+def _leading(q: np.ndarray, vectors: np.ndarray, norms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the k vectors with the largest products of any size, in
+    Python's integers for those that rounding leaves in question; ties in order."""
+    near, take = vectors @ q, np.arange(len(vectors))
+    slack = 1e-15 * (len(q) + 1) * np.sqrt((q**2).sum()) * norms
+    if len(near) > k:
+        take = np.flatnonzero(near + slack >= np.partition(near - slack, len(near) - k)[len(near) - k])
+    own = [int(c) for c in q]
+    scores = [sum(a * int(c) for a, c in zip(own, vectors[j])) for j in take]
+    best = sorted(range(len(take)), key=lambda i: -scores[i])[:k]
+    return take[best], np.array([min(max(scores[i], LOWEST), HIGHEST) for i in best], np.int64)
 
 
 class _Index:
@@ -73,20 +93,20 @@ class _Index:
     def __init__(self, pivots: list[bytes], width: int, top: float):
         self.width, self.top = width, top
         self.pivots = _matrix(pivots, width)
-        norms = (self.pivots.astype(float) ** 2).sum(axis=1)
+        norms = (self.pivots**2).sum(axis=1)
         self.extra = np.sqrt(np.maximum(top - norms, 0))
-        self.slack = 1e-7 * (1 + 4 * top)
+        self.slack = 1e-7 * (1 + 4 * top) * max(1, width) ** 0.5
 
     def keys(self, v: np.ndarray, norm2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         extra = np.sqrt(np.maximum(self.top - norm2, 0))
-        square = 2 * self.top - 2 * (_products(v, self.pivots) + np.outer(extra, self.extra))
+        square = 2 * self.top - 2 * (v @ self.pivots.T + np.outer(extra, self.extra))
         distance = np.sqrt(np.maximum(square, 0))
         pivot = distance.argmin(axis=1)
         return pivot, distance[np.arange(len(v)), pivot]
 
     def bounds(self, q: np.ndarray, norm2: np.ndarray, rings) -> np.ndarray:
         """Upper bounds of the products of queries (rows) with annuli (columns)."""
-        square = norm2[:, None] + self.top - 2 * _products(q, self.pivots)
+        square = norm2[:, None] + self.top - 2 * (q @ self.pivots.T)
         distance = np.sqrt(np.maximum(square, 0))[:, rings["pivot"]]
         least = np.maximum(0, np.maximum(distance - rings["hi"][None], rings["lo"][None] - distance))
         return (norm2[:, None] + self.top - least**2) / 2 + self.slack
@@ -137,22 +157,29 @@ def _best(width: int, k: int):
         out = {"q": [], "query_id": [], "vec_id": [], "score": []}
         if len(queries) and len(vectors):
             vectors = vectors.sort_values(["vec_id", "row"])
-            scores = _products(_matrix(queries["v"].tolist(), width), _matrix(vectors["v"].tolist(), width))
+            x, y = _matrix(queries["v"].tolist(), width), _matrix(vectors["v"].tolist(), width)
+            scores, norms = _products(x, y), np.sqrt((y**2).sum(axis=1))
             rows, ids = vectors["row"].to_numpy(), vectors["vec_id"].to_numpy()
             least = queries["least"].to_numpy()
             for i, (q, query_id) in enumerate(zip(queries["q"], queries["query_id"])):
                 take = np.flatnonzero(rows != q)
-                own = scores[i, take]
-                if len(own) > k:
-                    edge = np.partition(own, len(own) - k)[len(own) - k]
-                    take = take[own >= edge]  # ties in the order of ids
-                    take = take[np.argsort(-scores[i, take], kind="stable")][:k]
+                if scores is None:
+                    at, own = _leading(x[i], y[take], norms[take], k)
+                    take = take[at]
+                else:
+                    own = scores[i, take]
+                    if len(own) > k:
+                        edge = np.partition(own, len(own) - k)[len(own) - k]
+                        take = take[own >= edge]  # ties in the order of ids
+                        take = take[np.argsort(-scores[i, take], kind="stable")][:k]
+                        own = scores[i, take]
                 if not pd.isna(least[i]):
-                    take = take[scores[i, take] >= least[i]]
+                    reach = own >= int(least[i])
+                    take, own = take[reach], own[reach]
                 out["q"] += [q] * len(take)
                 out["query_id"] += [query_id] * len(take)
                 out["vec_id"] += ids[take].tolist()
-                out["score"] += scores[i, take].tolist()
+                out["score"] += own.tolist()
         return pd.DataFrame(out, dtype="int64")
 
     return run
@@ -165,14 +192,15 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
     ranks.
 
     A row is not its own candidate; other rows that repeat its vec_id or vector
-    are. A vector that is null or holds a null, a NaN, an infinity or a scaled
-    component beyond 2^26 takes no part. Vectors of unequal length are compared
-    as if filled with zeros. No vectors: no rows. Other columns are ignored.
+    are. A vector that is null or holds a null, a NaN or an infinity takes no part.
+    Products are exact at any size; a result whose score is beyond a long is an
+    error, as in SQL. Vectors of unequal length are compared as if filled with
+    zeros. No vectors: no rows. Other columns are ignored.
     """
     spark, context = vectors.sparkSession, vectors.sparkSession.sparkContext
-    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale))
-    fit = F.forall("embedding", lambda c: F.coalesce(F.abs(c.cast("double") * scale) <= LARGEST, F.lit(False)))
-    fit &= F.forall("embedding", lambda c: ~F.isnan(c.cast("double")))
+    x = F.transform("embedding", lambda c: c.cast("double") * scale)
+    finite = lambda c: F.abs(c.cast("double")) < float("inf")  # noqa: E731  NaN is above all
+    fit = F.forall("embedding", lambda c: F.coalesce(finite(c), F.lit(False)))
     rows = cut(
         vectors.select("vec_id", "embedding").filter(F.col("embedding").isNotNull()).filter(fit).select("vec_id", x.alias("x"))
         .mapInArrow(_pack, "vec_id long, v binary, norm2 double, width int")
@@ -227,9 +255,11 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
     ranks = first.withColumn("rank", F.row_number().over(ranked))
     least = ranks.filter(F.col("rank") == k).select("q", F.col("score").alias("least"))
     rest = visit(queries.drop("least").join(least, "q", "left").select("q", "query_id", "v", "norm2", "least"), True)
+    beyond = F.col("score").isin(LOWEST, HIGHEST)
+    score = F.when(beyond, F.raise_error(F.lit("a score is beyond a long")).cast("long")).otherwise(F.col("score"))
     return (
         first.union(rest).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
-        .select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
+        .select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), score.alias("score"))
     )
 
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 import regex
 
 from catalogspark.llm import language, licenses, queries, topk, urls
@@ -77,6 +78,25 @@ def test_products_of_odd_vectors(spark, monkeypatch):
     assert topk.top_products(few.limit(0)).collect() == []
 
 
+def test_products_of_large_vectors(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=6).round(2).tolist()) for i in range(200)]
+    rows += [(200 + i, (r.normal(size=6) * 10.0 ** r.integers(4, 7)).tolist()) for i in range(100)]
+    rows += [(300, [-1e7, 2e7, 5.0]), (301, [1e18, 1e18, 1.0, 2.0]), (302, [1e25])]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    for first, last in ((1024, 301), (1, 301)):  # products of the last two are beyond a long
+        monkeypatch.setattr(topk, "FIRST", first)
+        own = rows[:last]
+        df = spark.createDataFrame(own, "vec_id long, embedding array<float>").repartition(4)
+        assert sorted(map(tuple, topk.top_products(df).collect()), key=repr) == products(own, 50, 5, 256)
+    # (query, vector) pairs beyond a long count only where a result holds them
+    few = [(50, [0.0, 1.0]), *[(i, [0.0, float(i)]) for i in range(1, 7)], (9, [-1e30, -1e30]), (10, [1e30, 0.0])]
+    df = spark.createDataFrame(few, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_products(df).collect()), key=repr) == products(few, 50, 5, 256)
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+
+
 def parse(url):
     found = re.match("(?s)(.*?)://([^/?#]*)([^?#]*)", url or "")
     if not found:
