@@ -40,14 +40,14 @@ def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut to at most SLICE_BYTES of the text in `column`."""
+def slices(batches: Iterable[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most `size` bytes of the text in `column`."""
     for batch in batches:
         ends = offsets(batch.column(column))[1:]
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else offsets(batch.column(column))[0]
-            stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 

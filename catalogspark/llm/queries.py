@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from catalogspark.llm import counts, decontaminate, language, licenses, lines, ngrams, packing, topk, urls, wavelet
+from catalogspark.llm import (
+    counts, decontaminate, importance, language, licenses, lines, ngrams, packing, phrases, topk, urls, warc, wavelet,
+)
 
 QUERIES = {
     "op1_wavelet_matrix": wavelet.op1_wavelet_matrix,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_fuzzy_notices": licenses.op8_fuzzy_notices,
     "op9_line_templates": lines.op9_line_templates,
     "op10_digest_cache": counts.op10_digest_cache,
+    "op11_sharded_warc": warc.op11_sharded_warc,
+    "op12_position_crc": importance.op12_position_crc,
+    "op13_prefix_free_phrases": phrases.op13_prefix_free_phrases,
 }
 
 ORACLES = {
@@ -22,4 +27,6 @@ ORACLES = {
     "op5_prefix_filtered_join": decontaminate.OP5_SQL,
     "op6_pivot_distance": topk.OP6_SQL,
     "op9_line_templates": lines.OP9_SQL,
+    "op11_sharded_warc": warc.OP11_SQL,
+    "op13_prefix_free_phrases": phrases.OP13_SQL,
 }
