@@ -17,9 +17,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Pieces a worker remembers; the cache is emptied when it is full.
-CACHE_PIECES = 600_000
-#: A longer piece isn't remembered, so the cache is bounded in bytes.
+#: Bytes of what a worker remembers, in two halves: when one is full, the older one
+#: goes, and with it the pieces that haven't been met since.
+CACHE_BYTES = 96 << 20
+#: What a piece takes beside its own bytes and those of its ids, about.
+PIECE_OVERHEAD = 150
+#: A longer piece isn't remembered.
 PIECE_BYTES = 64
 #: Characters of the texts whose new pieces go to the library together.
 CHARS = 500_000
@@ -67,6 +70,8 @@ class Encoder:
             spec = json.load(file)
         self.library = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
         # the byte alphabet of byte-level BPE: printable Latin-1 stands for itself
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         other = [b for b in range(256) if b not in set(plain)]
@@ -87,8 +92,15 @@ class Encoder:
 
     def _at_white_space(self, text: str) -> list[bytes] | None:
         """White space is dropped and case folded; folding ASCII here must not
-        make a special string."""
-        return None if "<|" in text else text.encode().lower().split()
+        make a special string. The library composes marks before it folds case, so
+        in texts with combining marks (lead bytes CC and CD) only pieces without
+        any are folded here."""
+        if "<|" in text:
+            return None
+        data = text.encode()
+        if b"\xcc" in data or b"\xcd" in data:
+            return [p.lower() if p.isascii() else p for p in data.split()]
+        return data.lower().split()
 
     def _before_blanks(self, text: str) -> list[bytes] | None:
         """A blank belongs to the word behind it, and a single line feed is a
@@ -130,32 +142,33 @@ class Encoder:
         yield from self._encode(waiting)
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) >= CACHE_PIECES:
-            self.known.clear()
-        known = self.known
-        look, cuts, found, new = known.get, [], [], set()
+        cuts, seen = [], set()
         for text in texts:
-            pieces = self.cut(text)
-            ids = list(map(look, pieces)) if pieces is not None else None
-            if ids is not None and None in ids:
-                new.update([p for p, i in zip(pieces, ids) if i is None])
-            else:
-                pieces = None  # nothing is left to look up
-            cuts.append(pieces)
-            found.append(ids)
-        once = self._learn(new)
-        for text, pieces, ids in zip(texts, cuts, found):
-            if ids is None:
-                yield self.whole(text)
-            elif pieces is None:
-                yield b"".join(ids)
-            else:
-                yield b"".join([(known[p] if p in known else once[p]) if i is None else i for p, i in zip(pieces, ids)])
-
-    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """Remember the new pieces; those too long to remember are returned."""
-        known, found, rest, made = self.known, {}, [], {}
-        ask = set()
+            cuts.append(self.cut(text))
+            seen.update(cuts[-1] or ())
+        long = self._learn(seen.difference(self.known))
+        known = self.known
+        look = known.__getitem__
+        try:
+            for text, pieces in zip(texts, cuts):
+                yield self.whole(text) if pieces is None else b"".join(map(look, pieces))
+        finally:
+            for piece in long:
+                del known[piece]
+            self._forget()
+
+    def _forget(self) -> None:
+        if self.held >= CACHE_BYTES // 2:
+            self.older, self.known, self.held = self.known, {}, 0
+
+    def _learn(self, new: set[bytes]) -> list[bytes]:
+        """Remember the new pieces; those too long to stay are returned."""
+        known, older = self.known, self.older
+        again = [p for p in new if p in older]
+        for piece in again:
+            known[piece] = older[piece]
+        new.difference_update(again)
+        found, rest, made, ask = {}, [], {}, set()
         for piece in new:
             # a line feed before a word and marks behind it are encoded on their own
             if piece[-1] in _MARKS or piece[0] == 10:
@@ -181,13 +194,13 @@ class Encoder:
             for piece, end in zip(part, ends.tolist()):
                 found[piece] = ids[start:end]
                 start = end
-        look = _Both(known, found).__getitem__
-        found.update({p: b"".join(map(look, parts)) for p, parts in made.items() if len(parts) > 1})
-        long = {piece: ids for piece, ids in found.items() if len(piece) > PIECE_BYTES}
-        for piece in long:
-            del found[piece]
         known.update(found)
-        return long
+        for piece, parts in made.items():
+            if len(parts) > 1:
+                known[piece] = b"".join([known[p] for p in parts])
+        fresh = [*again, *found, *made]
+        self.held += sum(map(len, fresh)) + sum([len(known[p]) for p in fresh]) + PIECE_OVERHEAD * len(fresh)
+        return [piece for piece in {*found, *made} if len(piece) > PIECE_BYTES]
 
     def _merged(self, piece: bytes) -> bytes | None:
         """Ids of a word of Latin letters, one pre-token: the library's merges
@@ -211,15 +224,6 @@ def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Both(dict):
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, key):
-        return self.first[key]
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 

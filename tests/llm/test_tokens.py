@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from catalogspark.llm import counts, packing, wavelet
+from catalogspark.llm import counts, encode, packing, wavelet
 from catalogspark.llm.encode import Encoder, tokenizer_path
 from catalogspark.llm.frames import new_path
 
@@ -138,3 +139,27 @@ def test_hilbert_neighbours():
         assert sorted(places.tolist()) == list(range(len(cells)))
         walk = cells[np.argsort(places)].astype(int)
         assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_marked_and_mixed_case_texts(name, monkeypatch):
+    """Capitals, combining marks and odd blanks, against the library; a small cache
+    is turned over many times."""
+    monkeypatch.setattr(encode, "CACHE_BYTES", 200_000)
+    r = random.Random(17)
+    letters = "thjwyaeizsTHJWYAEIZSKſΣςİıﬁßÅ"
+    marks = "゙̧̣̱̀́̂̇̈̊̌᷄⃐ͅ"
+    blanks = [" ", " ", " ", "  ", "\n", "\t", " ", " ", "　", "'", ".", "'S ", "1", "<|", ""]
+
+    def one():
+        out = []
+        for _ in range(r.randint(1, 6)):
+            for _ in range(r.randint(1, 4)):
+                out += [r.choice(letters), *r.choices(marks, k=r.choice([0, 0, 0, 1, 1, 2]))]
+            out.append(r.choice(blanks))
+        return "".join(out)
+
+    texts = ["H̱ J̌ W̊ Y̊", "T̈", *[one() for _ in range(50_000)]]
+    want = list(map(library(name), texts))
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in encode.Encoder(encode.tokenizer_path(name)).encode(texts)]
+    assert [t for t, g, w in zip(texts, got, want) if g != w] == []
