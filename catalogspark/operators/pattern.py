@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalogspark.operators.bgp import solve
 from catalogspark.operators.paging import behind
+from catalogspark.operators.reach import Reach, reach
 from catalogspark.schema import DCAT, RDF_TYPE, XSD_INTEGER, XSD_STRING
 from catalogspark.session import cut
+from catalogspark.sources.quads import predicate_part
 
 TERM = "struct<value:string,kind:string,datatype:string,lang:string>"
 XSD_DOUBLE = "http://www.w3.org/2001/XMLSchema#double"
@@ -153,10 +155,6 @@ def same_term(a: str, b: str | Literal) -> Column:
     return F.col(a) == (F.col(b[1:]) if _is_var(b) else constant(b))
 
 
-def _subsets(names: list[str]):
-    return chain.from_iterable(combinations(names, n) for n in range(len(names) + 1))
-
-
 @dataclass(frozen=True)
 class Solutions:
     """`df` has one column per variable; `maybe` lists those that may be unbound;
@@ -176,21 +174,34 @@ class Solutions:
     def _shared(self, other: Solutions) -> list[str]:
         return [v for v in self.vars if v in other.vars]
 
-    def _by_bound(self, shared: list[str]):
-        """(bound variables, rows) for each way the shared variables are bound,
-        so that compatibility is an equality again."""
+    def _split(self, shared: list[str]) -> list[tuple[list[str], DataFrame]]:
+        """(bound variables, rows) for each way the shared variables are bound that
+        occurs, so that compatibility is an equality again. Rows whose shared
+        variables may be unbound are written once, with a mask of those bound."""
         loose = [v for v in shared if v in self.maybe]
-        for unbound in _subsets(loose):
-            df = self.df
-            for v in loose:
-                df = df.filter(F.col(v).isNull() if v in unbound else F.col(v).isNotNull())
-            yield [v for v in shared if v not in unbound], df
+        if not loose:
+            return [(shared, self.df)]
+        mask = reduce(lambda a, b: a + b, [F.when(F.col(v).isNotNull(), 1 << i).otherwise(0) for i, v in enumerate(loose)])
+        written = cut(self.df.withColumn("_mask", mask))
+        found = sorted(row[0] for row in written.select("_mask").distinct().collect()) or [0]
+        return [
+            (
+                [v for v in shared if v not in loose or m >> loose.index(v) & 1],
+                written.filter(F.col("_mask") == m).drop("_mask"),
+            )
+            for m in found
+        ]
 
     def join(self, other: Solutions) -> Solutions:
         """Every pair of compatible solutions. Patterns that share no variable are
         refused, whatever their sizes, unless one side is inline values. Where
         they share variables, solutions that leave all of them unbound are
-        compatible with everything; such rows meet in salted parts."""
+        compatible with everything; such rows meet in salted parts. There are as
+        many joins as pairs of masks that occur."""
+        shared = self._shared(other)
+        return self._joined(other, self._split(shared), other._split(shared))
+
+    def _joined(self, other: Solutions, mine: list, theirs: list) -> Solutions:
         shared = self._shared(other)
         if not shared and not (self.inline or other.inline):
             raise UnboundedProduct("the patterns share no variable; bind one side first")
@@ -198,17 +209,19 @@ class Solutions:
             v for v in shared if v not in self.maybe or v not in other.maybe
         }
         parts = []
-        for ours, left in self._by_bound(shared):
-            for theirs, right in other._by_bound(shared):
-                on = [v for v in ours if v in theirs]
+        for left_bound, left in mine:
+            for right_bound, right in theirs:
+                on = [v for v in left_bound if v in right_bound]
                 # A variable only one side binds comes from that side.
-                left_ = left.drop(*[v for v in shared if v not in ours])
-                right_ = right.drop(*[v for v in shared if v in ours and v not in on])
-                right_ = right_.drop(*[v for v in shared if v not in ours and v not in theirs])
+                left_ = left.drop(*[v for v in shared if v not in left_bound])
+                right_ = right.drop(*[v for v in shared if v in left_bound and v not in on])
+                right_ = right_.drop(*[v for v in shared if v not in left_bound and v not in right_bound])
                 out = left_.join(right_, on) if on else _product(left_, right_)
                 parts.append(out)
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         names = self.vars + [v for v in other.vars if v not in shared]
+        missing = [v for v in names if v not in df.columns]  # bound in no part
+        df = df.withColumns({v: F.lit(None).cast(TERM) for v in missing}) if missing else df
         return Solutions(df.select(names), maybe)
 
     def _met(self, other: Solutions, condition: Column) -> tuple[Solutions, DataFrame]:
@@ -230,18 +243,20 @@ class Solutions:
         if simple:
             df = self.df.join(other.df, shared, "left").select(self.vars + added)
         else:
-            unmatched = self._without(other, disjoint_matches=True)
-            df = self.join(other).df.unionByName(unmatched, allowMissingColumns=True)
+            mine, theirs = self._split(shared), other._split(shared)
+            unmatched = self._without(other, True, mine, theirs)
+            df = self._joined(other, mine, theirs).df.unionByName(unmatched, allowMissingColumns=True)
         return Solutions(df, self.maybe | other.maybe | set(added))
 
-    def _without(self, other: Solutions, disjoint_matches: bool) -> DataFrame:
+    def _without(self, other: Solutions, disjoint_matches: bool, mine=None, theirs=None) -> DataFrame:
         """Solutions with no compatible one in `other`. Sides that bind no
         variable in common match only if `disjoint_matches`."""
         shared = self._shared(other)
+        theirs = other._split(shared) if theirs is None else theirs
         parts = []
-        for ours, left in self._by_bound(shared):
-            for theirs, right in other._by_bound(shared):
-                on = [v for v in ours if v in theirs]
+        for ours, left in self._split(shared) if mine is None else mine:
+            for bound_, right in theirs:
+                on = [v for v in ours if v in bound_]
                 if on:
                     left = left.join(right.select(on).distinct(), on, "left_anti")
                 elif disjoint_matches and not right.isEmpty():
@@ -428,20 +443,24 @@ def _product(left: DataFrame, right: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Graph:
     """A queryable set of quads. Without `default` the default graph is the
-    union of all graphs; `distinct_triples` when foreign graphs may repeat them."""
+    union of all graphs; `distinct_triples` when foreign graphs may repeat them.
+    `sets` are the stored characteristic sets of the quads, if there are any."""
 
     quads: DataFrame
     default: tuple[str, ...] | None = None
     named: tuple[str, ...] | None = None
     distinct_triples: bool = False
+    sets: DataFrame | None = None
 
     def over(self, default: list[str] = (), named: list[str] = ()) -> Graph:
         """An explicit dataset: FROM `default`, FROM NAMED `named`."""
-        return Graph(self.quads, tuple(default), tuple(named), self.distinct_triples)
+        return Graph(self.quads, tuple(default), tuple(named), self.distinct_triples, self.sets)
 
     def match(self, s, p, o, g=None) -> Solutions:
         """One triple pattern; `g` scopes it to a graph or binds the graph."""
         df = self.quads
+        if isinstance(p, str) and not _is_var(p) and "p_part" in df.columns:
+            df = df.filter(F.col("p_part") == predicate_part(p))
         if g is None:
             if self.default is not None:
                 df = df.filter(F.col("graph").isin(*self.default))
@@ -476,15 +495,46 @@ class Graph:
                     out[name] = value
         return Solutions(df.select(*[c.alias(n) for n, c in out.items()]))
 
+    def rows(self, p: str, o: str | Literal | None = None, g: str | None = None) -> DataFrame:
+        """The quads of one predicate, of one object if given, in the default graph
+        or the graph `g`."""
+        df = self.quads
+        if "p_part" in df.columns:  # the layout by predicate: read its folder alone
+            df = df.filter(F.col("p_part") == predicate_part(p))
+        df = df.filter(F.col("p") == p)
+        if isinstance(o, Literal):
+            df = df.filter(
+                (F.col("o_kind") == "literal") & (F.col("o") == o.value)
+                & (F.col("o_datatype") == o.datatype) & (F.col("o_lang") == o.lang)
+            )
+        elif o is not None:
+            df = df.filter((F.col("o") == o) & (F.col("o_kind") == "iri"))
+        if g is not None:
+            if self.named is not None:
+                df = df.filter(F.col("graph").isin(*self.named))
+            return df.filter(F.col("graph") == g)
+        if self.default is not None:
+            df = df.filter(F.col("graph").isin(*self.default))
+        if self.distinct_triples or (self.default and len(self.default) > 1):
+            df = df.dropDuplicates(["s", "p", "o", "o_kind", "o_datatype", "o_lang"])
+        return df
+
+    @staticmethod
+    def object_term() -> Column:
+        return F.struct(
+            F.col("o").alias("value"), F.col("o_kind").alias("kind"),
+            F.col("o_datatype").alias("datatype"), F.col("o_lang").alias("lang"),
+        )
+
     def patterns(self, *triples: tuple) -> Solutions:
-        """A basic graph pattern: the join of its triples on shared variables."""
-        rest = [self.match(*t) for t in triples]
-        out = rest.pop(0)
-        while rest:
-            linked = next((r for r in rest if out._shared(r)), rest[0])
-            rest = [r for r in rest if r is not linked]
-            out = out.join(linked)
-        return out
+        """A basic graph pattern: the join of its triples on shared variables, the
+        triples of one subject as one star, the rarest star first where `sets`
+        tells."""
+
+        def refuse():
+            raise UnboundedProduct("the patterns share no variable; bind one side first")
+
+        return Solutions(solve(self, triples, iri_term, refuse))
 
     def graphs(self, var: str = "?g") -> Solutions:
         """The named graphs that hold a catalog."""
@@ -526,17 +576,28 @@ class Graph:
         """A path without repetition between two terms or variables."""
         return _ends(self._edges(path), s, o)
 
+    def reach(self, path) -> Reach:
+        """What each node of the graph reaches along `path`, as labels: components
+        of nodes that reach each other, their places, and the spans of places that
+        each reaches. Pairs are spelled out by its `pairs` alone."""
+        return reach(self._edges(path), self._loops().select(F.col("a").alias("node")))
+
     def closure(self, s, path, o, zero: bool = True, starts: DataFrame | None = None) -> Solutions:
         """`path*` (or `path+` without `zero`): reachable pairs, each once.
 
-        Semi-naive rounds from the start terms, as many as the longest path has
-        steps. `starts` (one column `a`) limits where paths begin.
+        With an end given, semi-naive rounds from it, as many as the longest path
+        has steps; `starts` (one column `a`) gives many beginnings. With free ends
+        the pairs are spelled out from the labels of `reach`, which answers most
+        questions without them.
         """
+        if _is_var(s) and not _is_var(o) and starts is None:
+            return self.closure(o, ("^", path), s, zero)
+        if _is_var(s) and starts is None:
+            return _ends(self.reach(path).pairs(zero), s, o)
         edges = cut(self._edges(path).distinct())
         if not _is_var(s):
-            starts = edges.sparkSession.range(1).select(constant(s).alias("a"))
-        if starts is None:
-            starts = self._loops().select("a") if zero else edges.select("a").distinct()
+            own = edges.sparkSession.range(1).select(constant(s).alias("a"))
+            starts = own if starts is None else starts.select("a").join(own, "a", "left_semi")
         starts = starts.select("a").distinct()
         hop = edges.select(F.col("a").alias("_m"), F.col("b").alias("_e"))
         if zero:

@@ -239,6 +239,15 @@ found_rules AS (
 )
 
 MARK = NS.unmappable_operator
+TRADE = """
+WITH RECURSIVE met AS (
+  SELECT DISTINCT 'urn:customer:' || o_custkey AS c, 'urn:supplier:' || l_suppkey AS v, l_returnflag AS flag
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey WHERE l_returnflag IN ('R', 'A')),
+edges AS (SELECT c AS a, v AS b FROM met WHERE flag = 'R' UNION SELECT v, c FROM met WHERE flag = 'A'),
+nodes AS (SELECT a AS n FROM edges UNION SELECT b FROM edges),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)"""
+
 ORACLES: dict[str, str] = {
     # Policy decisions
     "entitled_datasets_by_class": _decided(HIDE) + BY_CLASS,
@@ -377,6 +386,22 @@ SELECT u.u, count(*)::BIGINT AS n FROM {_typed(DCAT + 'Dataset')} d
 JOIN {_objects(DCAT + 'distribution', o='x')} x USING (s)
 JOIN {_objects(DCAT + 'accessService', 'x', 'v')} a USING (x)
 JOIN {_objects(DCAT + 'endpointURL', 'v', 'u')} u USING (v) GROUP BY ALL""",
+    "clustered_bgp": CATALOG + f"""
+SELECT u, f, count(*)::BIGINT AS n, count(DISTINCT d.s)::BIGINT AS n_datasets FROM {_typed(DCAT + 'Dataset')} d
+JOIN {_objects(DCAT + 'distribution', o='x')} x USING (s)
+JOIN {_objects(DCT + 'format', 'x', 'f')} f USING (x)
+JOIN {_objects(DCAT + 'accessService', 'x', 'v')} a USING (x)
+JOIN (SELECT s AS v FROM {_typed(DCAT + 'DataService')} t) t USING (v)
+JOIN {_objects(DCAT + 'endpointURL', 'v', 'u')} u USING (v) GROUP BY u, f""",
+    "subject_shapes": CATALOG + """,
+shapes AS (SELECT s, array_to_string(list_sort(list(DISTINCT p)), ' ') AS predicates, count(*) AS n FROM quads GROUP BY s)
+SELECT predicates, count(*)::BIGINT AS n_subjects, sum(n)::BIGINT AS n_quads FROM shapes GROUP BY predicates""",
+    "optional_twice": FULL + f""",
+base AS (SELECT d, x, a, r FROM {_objects(ODRL + 'hasPolicy', 'd', 'x')} h
+  LEFT JOIN {_objects(ODRL + 'assignee', 'x', 'a')} a USING (x) LEFT JOIN {_objects(ODRL + 'prohibition', 'x', 'r')} r USING (x))
+SELECT coalesce(l.a, w.a) AS a, coalesce(l.r, w.r) IS NOT NULL AS prohibits, count(*)::BIGINT AS n
+FROM base l JOIN base w ON l.x = w.x AND (l.a = w.a OR l.a IS NULL OR w.a IS NULL) AND (l.r = w.r OR l.r IS NULL OR w.r IS NULL)
+GROUP BY ALL""",
     "optional_policy_count": FULL + f"""
 SELECT s AS d, count(x)::BIGINT AS n FROM {_typed(DCAT + 'Dataset')} d
 LEFT JOIN {_objects(ODRL + 'hasPolicy', o='x')} h USING (s) GROUP BY ALL""",
@@ -403,6 +428,29 @@ WITH RECURSIVE edges AS (
 nodes AS (SELECT a FROM edges UNION SELECT b FROM edges),
 reach(s, o) AS (SELECT a, a FROM nodes UNION SELECT s, b FROM reach JOIN edges ON o = a)
 SELECT s, o FROM reach""",
+    "path_components": TRADE + """
+SELECT n AS node, least(n, coalesce(min(r.b), n)) AS least FROM nodes
+LEFT JOIN reach r ON r.a = n AND EXISTS (SELECT 1 FROM reach q WHERE q.a = r.b AND q.b = r.a) GROUP BY n""",
+    "path_plus": TRADE + """
+SELECT n AS node, count(r.b)::BIGINT AS n FROM nodes LEFT JOIN reach r ON r.a = nodes.n GROUP BY nodes.n""",
+    "path_reach_counts": CATALOG.replace("WITH", "WITH RECURSIVE", 1) + f""",
+below AS (SELECT s AS a, o AS b FROM quads
+          WHERE p IN ('{DCAT}dataset', '{DCAT}service', '{DCAT}distribution', '{DCAT}accessService')),
+reach(a, b) AS (SELECT a, b FROM below UNION SELECT r.a, e.b FROM reach r JOIN below e ON r.b = e.a)
+SELECT a AS node, count(*)::BIGINT AS n FROM reach GROUP BY a""",
+    "path_to_one": """
+SELECT 'urn:supplier:' || s_suppkey AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1
+UNION ALL SELECT 'urn:nation:' || n_nationkey FROM nation WHERE n_regionkey = 1
+UNION ALL SELECT 'urn:region:1'""",
+    "path_optional": """
+WITH edges AS (
+  SELECT 'urn:supplier:' || s_suppkey AS s, 'urn:nation:' || s_nationkey AS o FROM supplier
+  UNION SELECT 'urn:nation:' || n_nationkey, 'urn:region:' || n_regionkey FROM nation)
+SELECT s, o FROM edges UNION SELECT s, s FROM edges UNION SELECT o, o FROM edges""",
+    "path_inverse": CATALOG + f"""
+SELECT o AS v, count(*)::BIGINT AS n FROM quads WHERE p = '{DCAT}accessService' GROUP BY ALL""",
+    "path_alternative": CATALOG + f"""
+SELECT s AS c, count(*)::BIGINT AS n FROM quads WHERE p IN ('{DCAT}dataset', '{DCAT}service') GROUP BY ALL""",
     "graph_scope": CATALOG + f"""
 SELECT g, count(*)::BIGINT AS n FROM {_typed(DCAT + 'Dataset')} t GROUP BY ALL""",
     "named_graphs": CATALOG + f"SELECT DISTINCT g FROM {_typed(DCAT + 'Catalog')} t",

@@ -13,6 +13,7 @@ from catalogspark.functions.odrl import candidates
 from catalogspark.operators import claims as claims_ops
 from catalogspark.operators import decode, encode, ingest, listing, offers, snapshot, visibility
 from catalogspark.operators import pattern as P
+from catalogspark.operators.bgp import characteristic_sets
 from catalogspark.operators.pattern import Graph, text
 from catalogspark.operators.policy import Entitlements, PolicyConfig, entitle
 from catalogspark.schema import DCAT, DCT, NS, ODRL, RDF_TYPE, CatalogTables
@@ -359,6 +360,46 @@ def bgp_dataset_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.df.select(P.str_("u").alias("u"), P.number("n").cast("bigint").alias("n"))
 
 
+@query
+def clustered_bgp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and formats of the datasets a service is used by, over the layout by
+    predicate and subject, stars ordered by its characteristic sets."""
+    name = uuid.uuid4().hex
+    path, table = f"{checkpoint_root(spark)}/clustered-{name}", f"quads_{name}"
+    quads_table.write_clustered(encode.catalog_quads(star.tables(spark, sf_dir)), table, path, buckets=16)
+    stored = quads_table.read_clustered(spark, table)
+    found = Graph(stored, sets=cut(characteristic_sets(stored))).patterns(
+        ("?x", DCT + "format", "?f"),
+        ("?x", DCAT + "accessService", "?s"),
+        ("?d", DCAT + "distribution", "?x"),
+        ("?s", RDF_TYPE, DCAT + "DataService"),
+        ("?s", DCAT + "endpointURL", "?u"),
+        ("?d", RDF_TYPE, DCAT + "Dataset"),
+    )
+    return found.df.groupBy(P.str_("u").alias("u"), P.str_("f").alias("f")).agg(
+        F.count("*").alias("n"), F.count_distinct("d").alias("n_datasets")
+    )
+
+
+@query
+def subject_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sets of predicates that the resources of all catalogs have."""
+    sets = characteristic_sets(encode.catalog_quads(star.tables(spark, sf_dir)))
+    return sets.select(F.array_join("predicates", " ").alias("predicates"), "n_subjects", "n_quads")
+
+
+@query
+def optional_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies' assignees and obligations where there are any, joined on variables
+    that either side may leave unbound."""
+    graph = _full_graph(spark, sf_dir)
+    policy = graph.match("?d", ODRL + "hasPolicy", "?x")
+    assigned = policy.optional(graph.match("?x", ODRL + "assignee", "?a")).optional(graph.match("?x", ODRL + "prohibition", "?r"))
+    wanted = policy.optional(graph.match("?x", ODRL + "prohibition", "?r")).optional(graph.match("?x", ODRL + "assignee", "?a"))
+    found = assigned.join(wanted.select("x", "a", "r"))
+    return found.df.groupBy(F.col("a.value").alias("a"), F.col("r").isNotNull().alias("prohibits")).agg(F.count("*").alias("n"))
+
+
 @query
 def optional_policy_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = _full_graph(spark, sf_dir)
@@ -421,6 +462,54 @@ def path_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure("?s", "urn:partOf", "?o").values_of("s", "o")
 
 
+_TRADE = ("|", "urn:returnedTo", "urn:acceptedBy")
+
+
+@query
+def path_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that reach each other along a cyclic graph, under the smallest of them."""
+    found = Graph(cut(star.trade_quads(spark, sf_dir))).reach(_TRADE).least_members()
+    return found.select(F.col("node.value").alias("node"), F.col("least.value").alias("least"))
+
+
+@query
+def path_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes each node of a cyclic graph reaches by one step or more."""
+    found = Graph(cut(star.trade_quads(spark, sf_dir))).reach(_TRADE).counts(zero=False)
+    return found.select(F.col("node.value").alias("node"), "n")
+
+
+@query
+def path_reach_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many datasets, distributions and services lie below each resource."""
+    below = ("|", DCAT + "dataset", DCAT + "service", DCAT + "distribution", DCAT + "accessService")
+    found = _catalog_graph(spark, sf_dir).reach(below).counts(zero=False).filter("n > 0")
+    return found.select(F.col("node.value").alias("node"), "n")
+
+
+@query
+def path_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that is part of one region, by any number of steps."""
+    return Graph(star.place_quads(spark, sf_dir)).closure("?s", "urn:partOf", "urn:region:1").values_of("s")
+
+
+@query
+def path_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph(star.place_quads(spark, sf_dir)).path("?s", ("?", "urn:partOf"), "?o").values_of("s", "o")
+
+
+@query
+def path_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _catalog_graph(spark, sf_dir).path("?v", ("^", DCAT + "accessService"), "?x")
+    return found.df.groupBy(P.str_("v").alias("v")).agg(F.count("*").alias("n"))
+
+
+@query
+def path_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _catalog_graph(spark, sf_dir).path("?c", ("|", DCAT + "dataset", DCAT + "service"), "?x")
+    return found.df.groupBy(P.str_("c").alias("c")).agg(F.count("*").alias("n"))
+
+
 @query
 def graph_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = _catalog_graph(spark, sf_dir)

@@ -30,6 +30,7 @@ SCHEMAS = {
     "p_retailprice DOUBLE",
     "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
     "l_returnflag STRING, l_linestatus STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT",
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
     "value DOUBLE, props STRING",
     "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
@@ -393,3 +394,25 @@ def place_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
         *edge("'urn:nation:' || n_nationkey", "'urn:region:' || n_regionkey")
     )
     return supplier.unionByName(nation)
+
+
+def trade_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers of a nation: `returnedTo` from a customer to the
+    supplier of a returned line, `acceptedBy` from a supplier to the customer who
+    accepted one. The links run in circles."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").filter("l_returnflag IN ('R', 'A')")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    met = (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(supplier, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+        .select("o_custkey", "l_suppkey", "l_returnflag").distinct()
+    )
+    buyer, seller = "'urn:customer:' || o_custkey", "'urn:supplier:' || l_suppkey"
+    back = "l_returnflag = 'R'"
+    return met.selectExpr(
+        "'urn:trade' AS graph", f"if({back}, {buyer}, {seller}) AS s", f"if({back}, 'urn:returnedTo', 'urn:acceptedBy') AS p",
+        f"if({back}, {seller}, {buyer}) AS o", "'iri' AS o_kind", "'' AS o_datatype", "'' AS o_lang",
+    )
