@@ -136,9 +136,12 @@ def template_lines(rows):
     held, distinct = [], {}
     for k, (doc, text) in enumerate(rows):
         for at, line in enumerate((text or "").split("\n") if text else []):
-            masked = re.sub("[ \t\r]+", " ", re.sub("[^ \t\r]*[0-9][^ \t\r]*", "<*>", line)).strip(" ")
+            plain = re.sub("[ \t\r]+", " ", line).strip(" ")
+            masked = re.sub("[^ ]*[0-9][^ ]*", "<*>", plain)
+            if len(masked.split(" ")) - masked.count("<*>") < 5:
+                masked = plain
             tokens = masked.split(" ")
-            if len(tokens) >= 5:
+            if len(tokens) >= 5 or len(masked) >= 40:
                 held.append((doc is None, doc, k, at, masked))
                 distinct.setdefault(masked, (len(tokens), *tokens[:3]))
     docs_of = defaultdict(set)
@@ -151,9 +154,10 @@ def template_lines(rows):
     for masked, leaf in distinct.items():
         own, tokens = leaves[leaf], masked.split(" ")
         name[masked] = masked
-        if leaf[0] >= 8 and len(own) > 1 and len(docs_of[leaf]) > 1:
+        if leaf[0] >= 8 and len(own) >= 10 and len(docs_of[leaf]) > 1:
             top = [min(Counter(x[i] for x in own).items(), key=lambda c: (-c[1], c[0]))[0] for i in range(leaf[0])]
-            if sum(a != b for a, b in zip(top, tokens)) <= max(1, leaf[0] // 20):
+            like = lambda x: sum(a != b for a, b in zip(top, x)) <= max(1, leaf[0] // 20)  # noqa: E731, B023
+            if like(tokens) and sum(map(like, own)) >= 10:
                 name[masked] = leaf
     groups = defaultdict(list)
     for row in held:
@@ -171,6 +175,22 @@ def template_lines(rows):
     return sorted(out)
 
 
+def test_unlike_lines_stay(spark):
+    """Rows of numbers and sentences that differ in a word are no templates; equal
+    long lines without blanks are."""
+    numbers = ["\n".join(" ".join(str(d * 1000 + i * 7 + k) for k in range(6)) for i in range(20)) for d in (1, 2)]
+    chapters = [f"Chapter one begins with a very {w} night here" for w in ("long", "cold", "dark")]
+    script = "。".join(["日本語の長い文章がここに続きます"] * 4)
+    rows = [*enumerate(numbers), *enumerate(chapters, 10), (20, script), (21, script), (22, "Yes.\nYes."), (23, "Yes.")]
+    rows += [(30 + i, f"user logged in from host {w} at noon today {i}") for i, w in enumerate("abcdefghijkl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc.doc_id: (r.n_dropped, r.doc.text) for r in lines.drop_lines(docs).collect()}
+    assert all(got[d] == (0, t) for d, t in rows if d < 21 or 22 <= d < 30)
+    assert got[21] == (1, "") and got[30][0] == 0 and all(got[d] == (1, "") for d in range(31, 42))
+    want = [(str(d), n, dropped, t) for d, n, dropped, t in template_lines(rows)]
+    assert sorted((str(r.doc.doc_id), r.n_lines, r.n_dropped, r.doc.text) for r in lines.drop_lines(docs).collect()) == want
+
+
 def test_line_templates(spark, odd, none):
     r = random.Random(2)
     rows = [(i, t) for i, t in {(x.doc_id, x.text) for x in odd.collect()} if i is not None]
