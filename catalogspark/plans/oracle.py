@@ -352,6 +352,27 @@ owned AS (SELECT p, {OWNER.format('s')} AS os,
 SELECT p, count(*)::BIGINT AS n FROM owned
 WHERE (os IS NULL OR os IN (SELECT iri FROM allowed))
   AND (oo IS NULL OR oo IN (SELECT iri FROM allowed)) GROUP BY ALL""",
+    "visible_quads_by_class": f"""{_decided(HIDE)}, {CATALOG_QUADS}, {POLICY_QUADS},
+quads AS (SELECT * FROM catalog_quads UNION ALL SELECT * FROM policy_quads),
+seen AS (SELECT p_partkey, list_sort(list(segment || '/' || nation)) AS cs FROM decided WHERE visible GROUP BY ALL),
+shown AS (SELECT s_nationkey, l_partkey, cs FROM holdings JOIN seen ON l_partkey = p_partkey),
+uses AS (SELECT s_nationkey, access AS sid, list_sort(list_distinct(flatten(list(coalesce(cs, []))))) AS cs
+         FROM (SELECT DISTINCT s_nationkey, access, l_partkey FROM dists) LEFT JOIN shown USING (s_nationkey, l_partkey)
+         GROUP BY ALL),
+everyone AS (SELECT list_sort(list(segment || '/' || nation)) AS cs FROM classes),
+allowed AS (
+  SELECT '{N}nation-' || s_nationkey || '/datasets/part-' || l_partkey AS iri, cs FROM shown
+  UNION ALL SELECT '{N}nation-' || s_nationkey || '/services/' || sid, coalesce(uses.cs, everyone.cs)
+  FROM servs LEFT JOIN uses USING (s_nationkey, sid), everyone),
+owned AS (SELECT p, {OWNER.format('s')} AS os,
+                 CASE WHEN o_kind = 'iri' THEN {OWNER.format('o')} END AS oo
+          FROM quads WHERE p <> '{NS.sequence_index}'),
+counted AS (
+  SELECT p, CASE WHEN os IS NULL THEN everyone.cs ELSE coalesce(a.cs, []) END AS x,
+    CASE WHEN oo IS NULL THEN everyone.cs ELSE coalesce(b.cs, []) END AS y, count(*) AS n
+  FROM owned LEFT JOIN allowed a ON os = a.iri LEFT JOIN allowed b ON oo = b.iri, everyone GROUP BY ALL)
+SELECT split_part(c, '/', 1) AS segment, CAST(split_part(c, '/', 2) AS INT) AS nation, p, sum(n)::BIGINT AS n
+FROM (SELECT p, n, unnest(list_intersect(x, y)) AS c FROM counted) GROUP BY ALL""",
     # Quads
     "stored_quads": CATALOG + """
 SELECT g AS graph, p, count(*)::BIGINT AS n, count(DISTINCT s || ' ' || o)::BIGINT AS n_pairs
@@ -636,6 +657,9 @@ WITH rows AS (
     l_linestatus AS side FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
 SELECT graph, s, o, CASE WHEN min(side) = 'F' THEN 'removed' ELSE 'added' END AS change
 FROM rows GROUP BY graph, s, o HAVING count(*) = 1""",
+    "store_diff": FULL + f"""
+SELECT g AS graph, s, p, o, CASE WHEN k % 5 = 1 THEN 'added' ELSE 'removed' END AS change
+FROM quads JOIN (SELECT g, k FROM cg) USING (g) WHERE p = '{PROP}title' AND k % 5 IN (1, 2)""",
     "deleted_nodes": f"""WITH {HOLDINGS}
 SELECT 'nation-' || s_nationkey AS node_id, count(*)::BIGINT AS n_datasets FROM holdings
 WHERE s_nationkey % 5 <> 2 GROUP BY s_nationkey

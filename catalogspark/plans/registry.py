@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalogspark.functions import iri
 from catalogspark.functions.odrl import candidates
 from catalogspark.operators import claims as claims_ops
-from catalogspark.operators import decode, encode, ingest, listing, offers, snapshot, visibility
+from catalogspark.operators import decode, digests, encode, ingest, listing, offers, snapshot, views, visibility
 from catalogspark.operators import pattern as P
 from catalogspark.operators.bgp import characteristic_sets
 from catalogspark.operators.pattern import Graph, text
@@ -240,6 +240,15 @@ def visible_quad_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.groupBy("p").agg(F.count("*").alias("n"))
 
 
+@query
+def visible_quads_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quads of each predicate that each class sees, from one reading."""
+    tables = star.tables(spark, sf_dir)
+    masks = views.class_masks(tables, entitle(tables, _segment_classes(spark, sf_dir)))
+    counts = views.count_by_class(views.view_quads(encode.encode(tables), masks), masks, "p")
+    return counts.select("class_key.segment", "class_key.nation", "p", "n")
+
+
 @query
 def refreshed_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The allow-list after some nodes grew, rebuilt for those alone."""
@@ -873,6 +882,19 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.diff_quads(quads("F"), quads("O")).select("graph", "s", "o", "change")
 
 
+@query
+def store_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quads that some nodes lost and others gained between two stores."""
+    tables = star.tables(spark, sf_dir)
+    now = encode.encode(tables)
+    of = lambda rest: F.col("graph").isin([f"{NS.nodes}nation-{n}" for n in range(rest, 25, 5)])
+    title = F.col("p") == NS.property_prefix + "title"
+    root = f"{checkpoint_root(spark)}/stores-{uuid.uuid4().hex}"
+    digests.write_store(now.filter(~(of(1) & title)), f"{root}/before")
+    digests.write_store(now.filter(~(of(2) & title)), f"{root}/after")
+    return digests.diff_stores(spark, f"{root}/before", f"{root}/after").select("graph", "s", "p", "o", "change")
+
+
 @query
 def deleted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each node after some are deleted."""
