@@ -711,4 +711,5 @@ FROM events GROUP BY ALL
 HAVING last_success_ms + 20000 * 1000
   < (SELECT epoch_us(max(ts)) // 1000 FROM events) - 600000""",
 }
+ORACLES["stream_entitlement_deltas"] = ORACLES["stream_entitlement"].replace("AS iri", "AS iri, 1::BIGINT AS times")
 ORACLES["refreshed_allow_list"] = ORACLES["allow_list"]

@@ -952,6 +952,7 @@ def _harvested(spark: SparkSession, sf_dir: str, after=None) -> str:
     were made between those of the first, and some of these again."""
     root = f"{checkpoint_root(spark)}/harvest-{uuid.uuid4().hex}"
     crawls = star.catalog_responses(spark, sf_dir)
+    after = after and after(f"{root}/out")
     run = harvest.upsert_batch(star.participants(spark, sf_dir), f"{root}/out", 1 << 20, 30_000, after)
     landings = ["cycle_id % 2 = 1", "cycle_id % 2 = 0 or cycle_id % 3 = 0"]
     for i, which in enumerate(landings):
@@ -976,12 +977,24 @@ def stream_entitlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = spark.createDataFrame(
         [(s, {"segment": [s]}) for s in star.SEGMENTS], "class_key string, claims map<string,array<string>>"
     )
-    _harvested(spark, sf_dir, harvest.entitle_after(classes, lists))
+    _harvested(spark, sf_dir, lambda _: harvest.entitle_after(classes, lists))
     found = spark.read.parquet(lists)
     last = found.agg(F.max("batch")).first()[0]
     return found.filter(F.col("batch") == last).select("class_key", "node_id", "iri")
 
 
+@query
+def stream_entitlement_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batches' changes of the allow-list add up to."""
+    root = f"{checkpoint_root(spark)}/deltas-{uuid.uuid4().hex}"
+    classes = spark.createDataFrame(
+        [(s, {"segment": [s]}) for s in star.SEGMENTS], "class_key string, claims map<string,array<string>>"
+    )
+    _harvested(spark, sf_dir, lambda out: harvest.entitle_deltas(classes, out, root))
+    summed = harvest.read_deltas(spark, root).groupBy("class_key", "node_id", "iri")
+    return summed.agg(F.sum("change").alias("times")).filter("times <> 0")
+
+
 @query
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status and number of attempts from the log that the ingest stream wrote."""

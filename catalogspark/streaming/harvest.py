@@ -6,10 +6,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from catalogspark import schema
 from catalogspark.operators import ingest, snapshot, visibility
 from catalogspark.operators.policy import PolicyConfig, entitle
 from catalogspark.schema import NS, CatalogTables, Namespace
@@ -30,10 +32,15 @@ LOGGED = (
 )
 
 
-def _kept(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """A table of the harvest's folder, empty before its first rows."""
-    spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}/version=-2")
-    return spark.read.schema(schema).parquet(f"{path}/{name}")
+def _kept(spark: SparkSession, path: str, name: str, columns: str) -> DataFrame:
+    """A table of the harvest's folder, empty before its first rows. Reading writes
+    nothing, so a store can be read where it can't be written."""
+    try:
+        return spark.read.schema(columns).parquet(f"{path}/{name}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], columns)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -44,9 +51,13 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def new_deliveries(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
     """A batch without crawls that earlier batches have logged, however long ago;
     a first delivery counts however late it is. A batch that runs again doesn't
-    see its own log."""
+    see its own log. Logs are sorted by cycle, so only what lies between the batch's
+    first and last cycle is read of them."""
     spark = batch.sparkSession
-    seen = _kept(spark, path, "crawl_log", LOGGED).filter(F.col("version") < batch_id)
+    first, last = batch.agg(F.min("cycle_id"), F.max("cycle_id")).first()
+    seen = _kept(spark, path, "crawl_log", LOGGED).filter(
+        (F.col("version") < batch_id) & F.col("cycle_id").between(first, last)
+    )
     return batch.join(seen.select("node_id", "cycle_id").distinct(), ["node_id", "cycle_id"], "left_anti")
 
 
@@ -80,7 +91,7 @@ def upsert_batch(
             fresh.catalogs.select("node_id").distinct(), "node_id", "left_semi"
         )
         arrived.write.mode("overwrite").parquet(f"{path}/arrivals/version={batch_id}")
-        log.write.mode("overwrite").parquet(f"{path}/crawl_log/version={batch_id}")
+        log.sortWithinPartitions("cycle_id").write.mode("overwrite").parquet(f"{path}/crawl_log/version={batch_id}")
         if after is not None:
             after(read_current(spark, path), batch_id)
 
@@ -99,7 +110,7 @@ def read_current(spark: SparkSession, path: str) -> CatalogTables:
     )
     tables = {}
     for name in CatalogTables.__dataclass_fields__:
-        rows = spark.read.parquet(f"{path}/{name}")
+        rows = _kept(spark, path, name, f"{getattr(schema, name.upper())}, version bigint")
         tables[name] = rows.join(held, ["node_id", "version"], "left_semi").drop("version")
     return CatalogTables(**tables)
 
@@ -108,7 +119,6 @@ def remove_nodes(spark: SparkSession, path: str, nodes: DataFrame) -> None:
     """Forget what is held of `nodes`; a response fetched later brings one back."""
     arrivals = _kept(spark, path, "arrivals", ARRIVALS).join(nodes.select("node_id"), "node_id", "left_semi")
     upto = cut(arrivals.groupBy("node_id").agg(F.max("fetched_at").alias("upto")))
-    _kept(spark, path, "removed", REMOVED)
     upto.write.mode("append").parquet(f"{path}/removed/version=0")
 
 
@@ -152,6 +162,79 @@ def entitle_after(classes: DataFrame, path: str, cfg: PolicyConfig = PolicyConfi
     return after
 
 
+# What each batch changes in the allow-list of the static caller classes. A node's
+# list is kept under the batch that last changed it.
+
+HELD = "node_id string, gone boolean, batch bigint"
+
+
+def _lists(spark: SparkSession, path: str, class_type: str) -> DataFrame:
+    return _kept(spark, path, "lists", f"class_key {class_type}, node_id string, iri string, batch bigint")
+
+
+def _held(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """(node_id, batch) of the lists that count, those before a batch if given."""
+    rows = _kept(spark, path, "held", HELD)
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    newest = rows.groupBy("node_id").agg(F.max(F.struct("batch", "gone")).alias("a"))
+    return newest.filter("not a.gone").select("node_id", "a.batch")
+
+
+def entitle_deltas(
+    classes: DataFrame, source: str, path: str, cfg: PolicyConfig = PolicyConfig(), ns: Namespace = NS
+):
+    """For upsert_batch into `source`: write only what a batch changes.
+
+    `deltas` in `path` gets the allow-list rows that came and went, with `change` 1
+    and -1; they add up to the whole list. Only nodes that arrived, or that are
+    held no longer, are decided; a batch without such nodes writes nothing, and one
+    whose nodes are as before neither. A batch that runs again writes the same
+    files. Other classes need a folder of their own.
+    """
+    kind = classes.schema["class_key"].dataType.simpleString()
+
+    def after(tables: CatalogTables, batch_id: int) -> None:
+        spark = classes.sparkSession
+        held = cut(_held(spark, path, batch_id))
+        arrived = _kept(spark, source, "arrivals", ARRIVALS).filter(F.col("version") == batch_id)
+        gone = held.join(tables.catalogs.select("node_id"), "node_id", "left_anti")
+        changed = cut(arrived.select("node_id").unionByName(gone.select("node_id")).distinct())
+        if changed.isEmpty():
+            return
+        mine = tables.map(lambda _, df: df.join(changed, "node_id", "left_semi"))
+        mine = mine.map(lambda _, df: cut(df))
+        now = cut(visibility.allow_list(mine, entitle(mine, classes, cfg), ns))
+        then = _lists(spark, path, kind).join(held.join(changed, "node_id", "left_semi"), ["node_id", "batch"], "left_semi")
+        sides = now.withColumn("change", F.lit(1)).unionByName(then.select(*now.columns, F.lit(-1).alias("change")))
+        delta = cut(sides.groupBy("class_key", "node_id", "iri").agg(F.sum("change").cast("int").alias("change")).filter("change <> 0"))
+        nodes = cut(delta.select("node_id").distinct())
+        if nodes.isEmpty():
+            return
+        left = now.join(nodes, "node_id", "left_semi")
+        left.write.mode("overwrite").parquet(f"{path}/lists/batch={batch_id}")
+        delta.write.mode("overwrite").parquet(f"{path}/deltas/batch={batch_id}")
+        kept = left.select("node_id").distinct().withColumn("kept", F.lit(True))
+        # written last: a list counts once it is named here
+        nodes.join(kept, "node_id", "left").select("node_id", F.col("kept").isNull().alias("gone")).write.mode(
+            "overwrite"
+        ).parquet(f"{path}/held/batch={batch_id}")
+
+    return after
+
+
+def read_allow_list(spark: SparkSession, path: str, class_type: str = "string") -> DataFrame:
+    """(class_key, node_id, iri) as the last batch left it."""
+    lists = _lists(spark, path, class_type).join(_held(spark, path), ["node_id", "batch"], "left_semi")
+    return lists.select("class_key", "node_id", "iri")
+
+
+def read_deltas(spark: SparkSession, path: str, class_type: str = "string") -> DataFrame:
+    """(class_key, node_id, iri, change, batch) of all committed batches."""
+    deltas = _kept(spark, path, "deltas", f"class_key {class_type}, node_id string, iri string, change int, batch bigint")
+    return deltas.join(_kept(spark, path, "held", HELD).select("batch").distinct(), "batch", "left_semi")
+
+
 # Health ------------------------------------------------------------------------
 
 

@@ -4,9 +4,11 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalogspark import schema as S
-from catalogspark.operators import listing, offers, snapshot
+from catalogspark.operators import listing, offers, snapshot, visibility
+from catalogspark.operators.policy import entitle
 from catalogspark.sources import participants as PC
 from catalogspark.sources import responses as R
 from catalogspark.streaming import harvest
@@ -221,3 +223,42 @@ def test_live_status_matches_batch(spark, log, tmp_path):
     got = {r.node_id: r.last_error for r in spark.table("live").collect()}
     assert got == {"a": None, "b": "e2", "c": "never"}
 
+def test_deltas_add_up_to_the_whole_list(spark, tmp_path):
+    out, lists = str(tmp_path / "out"), str(tmp_path / "lists")
+    doc = lambda *ids: json.dumps({"dataset": [{"@id": i} for i in ids]})
+    classes = spark.createDataFrame([("x", {}), ("y", {})], "class_key string, claims map<string,array<string>>")
+    run = harvest.upsert_batch(members(spark, "a", "b"), out, 1000, 1000, harvest.entitle_deltas(classes, out, lists))
+    batch = lambda *rows: spark.createDataFrame(rows, S.RESPONSES)
+    ids = lambda df: {(r.class_key, r.node_id, r.iri.rsplit("/", 1)[1]) for r in df.collect()}
+    both = lambda *pairs: {(c, n, d) for c in "xy" for n, d in pairs}
+
+    def state(want, changed, rebuilt=False):
+        assert ids(harvest.read_allow_list(spark, lists)) == want
+        deltas = harvest.read_deltas(spark, lists)
+        assert {r.batch for r in deltas.collect()} == changed
+        sums = deltas.groupBy("class_key", "node_id", "iri").agg(F.sum("change").alias("n"))
+        assert {r.n for r in sums.collect()} <= {0, 1} and ids(sums.filter("n = 1")) == want
+        if rebuilt:
+            whole = harvest.read_current(spark, out)
+            assert ids(visibility.allow_list(whole, entitle(whole, classes))) == want
+
+    run(batch(("a", 1, at(0), 200, 1, doc("1", "2")), ("b", 1, at(0), 200, 1, doc("3"))), 0)
+    state(both(("a", "1"), ("a", "2"), ("b", "3")), {0})
+    run(batch(("a", 2, at(1), 200, 1, doc("2", "1"))), 1)  # the same content again
+    run(batch(("a", 3, at(2), 500, 1, "x")), 2)  # nothing arrived
+    state(both(("a", "1"), ("a", "2"), ("b", "3")), {0})
+    for _ in range(2):  # a batch that runs again
+        run(batch(("a", 4, at(3), 200, 1, doc("2", "4"))), 3)
+        state(both(("a", "2"), ("a", "4"), ("b", "3")), {0, 3})
+    harvest.remove_nodes(spark, out, members(spark, "b"))
+    run(batch(("a", 5, at(4), 500, 1, "x")), 4)
+    state(both(("a", "2"), ("a", "4")), {0, 3, 4})
+    run(batch(("b", 9, at(9), 200, 1, doc("3"))), 5)
+    state(both(("a", "2"), ("a", "4"), ("b", "3")), {0, 3, 4, 5}, rebuilt=True)
+
+
+def test_reading_writes_nothing(spark, tmp_path):
+    held = harvest.read_current(spark, str(tmp_path / "none"))
+    assert held.catalogs.isEmpty() and harvest.read_log(spark, str(tmp_path / "none")).isEmpty()
+    assert harvest.read_allow_list(spark, str(tmp_path / "none")).isEmpty()
+    assert not (tmp_path / "none").exists()
