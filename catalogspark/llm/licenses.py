@@ -10,6 +10,7 @@ matched exactly, and edits fall on the rest.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -82,28 +83,39 @@ class Notice:
             ]
         self.pattern = regex.compile(rb"(?be)(?<![^ ])(?:" + b"|".join(found) + rb")(?![^ ])")
 
-    def windows(self, text: bytes) -> list[tuple[int, int]]:
-        """Merged stretches of the text that hold every match."""
-        reach, found = self.edits + 1, []
+    def windows(self, text: bytes) -> Iterator[tuple[int, int]]:
+        """Stretches of the text that hold every match, one for each place of a
+        seed and none longer than a notice and its edits."""
+        reach, found = self.edits + 1, set()
         for at, seed in self.seeds:
             place = text.find(seed)
             while place >= 0:
-                found.append((max(0, place - at - reach), place - at + len(self.text) + reach))
+                found.add((max(0, place - at - reach), min(len(text), place - at + len(self.text) + reach)))
                 place = text.find(seed, place + 1)
-        merged: list[tuple[int, int]] = []
-        for low, high in sorted(found):
-            if merged and low <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
-            else:
-                merged.append((low, high))
-        return merged
-
-    def matches(self, text: bytes) -> Iterator[tuple[int, int, float]]:
-        """-> (start, end, similarity) in the text, matches that don't overlap."""
-        for low, high in self.windows(text):
-            for match in self.pattern.finditer(text, low, min(high, len(text))):
-                if match.end() > match.start():
-                    yield match.start(), match.end(), 1 - sum(match.fuzzy_counts) / len(self.text)
+        yield from sorted(found)
+
+    def _within(self, text: bytes, low: int, high: int) -> Iterator[tuple[int, int, float]]:
+        """The best match of a stretch, and those on both sides of it."""
+        if high - low < len(self.text) - self.edits:
+            return
+        match = self.pattern.search(text, low, high)
+        if match and match.end() > match.start():
+            yield match.start(), match.end(), 1 - sum(match.fuzzy_counts) / len(self.text)
+            yield from self._within(text, low, match.start())
+            yield from self._within(text, match.end(), high)
+
+    def matches(self, text: bytes) -> list[tuple[int, int, float]]:
+        """(start, end, similarity) of matches in the text, by place. Of matches that
+        overlap the most similar one counts, of equal ones the first."""
+        found = {span for low, high in self.windows(text) for span in self._within(text, low, high)}
+        starts: list[int] = []
+        kept: list[tuple[int, int, float]] = []
+        for span in sorted(found, key=lambda s: (-s[2], s[0], s[1])):
+            at = bisect(starts, span[0])
+            if (not at or kept[at - 1][1] <= span[0]) and (at == len(kept) or span[1] <= kept[at][0]):
+                starts.insert(at, span[0])
+                kept.insert(at, span)
+        return kept
 
 
 def _places(text: bytes, phrase: bytes) -> list[int]:

@@ -220,3 +220,11 @@ def test_other_licences_are_not_taken_for_known_ones(spark):
     got = {g.doc_id: g for g in licenses.scan_licenses(df).collect()}
     assert [got[i].labels for i in range(len(rows))] == [want for _, want in rows]
     assert all((got[i].score > 0) == bool(want) for i, (_, want) in enumerate(rows))
+
+
+def test_every_notice_of_a_text_has_its_span(spark):
+    rows = [(1, "all rigths reserved all rights reserved"), (2, "all rigths reserved by us, " * 20_000), (3, "all rights reserved " * 3)]
+    got = {g.doc_id: g.spans for g in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.start, s.end, s.similarity) for s in got[1]] == [(0, 19, 1 - 2 / 19), (20, 39, 1.0)]
+    assert [s.start for s in got[2]] == [26 * i for i in range(20_000)]
+    assert [(s.start, s.end) for s in got[3]] == [(0, 19), (20, 39), (40, 59)]
