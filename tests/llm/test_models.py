@@ -47,6 +47,31 @@ def test_long_texts_are_scored_whole(spark, monkeypatch):
     assert language.predict(test, model).first().lang_pred == "de"
 
 
+def test_cut_texts_keep_all_their_ngrams(monkeypatch):
+    r = random.Random(5)
+    texts = ["".join(r.choices("abcÄßé  .,\n1漢字ªΣ", k=r.randrange(1, 90))) for _ in range(300)]
+    whole = [np.sort(language._grams([t])[0]).tolist() for t in texts]
+    for size in (1, 2, 3, 7, 40):
+        monkeypatch.setattr(language, "CHARS", size)
+        for text, want in zip(texts, whole):
+            got = [b for found in language._long_grams(text) for b in found.tolist()]
+            assert sorted(got) == want
+
+
+def test_many_languages_come_in_blocks(spark, monkeypatch):
+    """Block after block gives what one matrix of all languages gives."""
+    r = random.Random(6)
+    rows = [(i, "".join(r.choices("abcdefgh "[k % 5 : k % 5 + 4 + k % 3], k=60)), f"l{k}") for i, k in enumerate(list(range(12)) * 3)]
+    df = spark.createDataFrame(rows + [(99, "  ", None)], "doc_id long, text string, lang string").repartition(3)
+    want = {g.doc_id: g for g in language.identify(df).collect()}
+    monkeypatch.setattr(language, "BLOCK", 3)
+    assert language.train(df).blocks == 4 and language.train(df).languages == 12
+    got = {g.doc_id: g for g in language.identify(df).collect()}
+    assert len({g.lang_pred for g in got.values()}) > 6
+    for k, g in got.items():
+        assert g.lang_pred == want[k].lang_pred and abs(g.score - want[k].score) < 1e-9
+
+
 def products(rows, every, k, scale):
     fit = []
     for i, (vec_id, v) in enumerate(rows):
