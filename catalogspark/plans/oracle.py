@@ -689,6 +689,11 @@ SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start, count(*)::BIGINT A
 FROM events GROUP BY time_bucket(INTERVAL '1 hour', ts)
 HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour'
   <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""",
+    "stream_all_intervals": """
+SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start, count(*)::BIGINT AS attempted,
+  count(*) FILTER (event_type <> 'error')::BIGINT AS succeeded,
+  count(*) FILTER (event_type = 'error')::BIGINT AS failed
+FROM events GROUP BY 1""",
     "stream_ingest": """
 SELECT 'nation-' || user_id % 25 AS node_id, 'catalog-' || max_by(event_id, (ts, event_id)) AS catalog_id,
   'dataset-' || max_by(event_id, (ts, event_id)) % 7 AS dataset_id

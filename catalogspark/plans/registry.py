@@ -947,6 +947,15 @@ def stream_cycle_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def stream_all_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health of all intervals: closed ones from the stream, open ones from its state."""
+    root = f"{checkpoint_root(spark)}/intervals-{uuid.uuid4().hex}"
+    stream = harvest.cycle_health(harvest.event_log_stream(spark, sf_dir), "1 hour", "10 minutes")
+    closed = harvest.run_to_table(stream, root=root)
+    return closed.unionByName(harvest.open_intervals(spark, f"{root}/checkpoint"))
+
+
 def _harvested(spark: SparkSession, sf_dir: str, after=None) -> str:
     """Two landings through the ingest stream: the later one brings crawls that
     were made between those of the first, and some of these again."""

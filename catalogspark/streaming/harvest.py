@@ -254,6 +254,16 @@ def cycle_health(crawl_log: DataFrame, interval: str, delay: str) -> DataFrame:
     )
 
 
+def open_intervals(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What cycle_health holds of intervals it hasn't closed yet, from the state of
+    its last batch: the same columns. With what it has emitted, all intervals."""
+    held = spark.read.format("statestore").load(checkpoint)
+    # the state names all counts alike, so they are told apart by position
+    counts = F.col("value").cast("struct<attempted:bigint,succeeded:bigint,failed:bigint>").alias("counts")
+    window = F.col("key").cast("struct<window:struct<start:timestamp,end:timestamp>>").getField("window")
+    return held.select(F.unix_micros(window.getField("start")).alias("start"), counts).select("start", "counts.*")
+
+
 class Expiry(StatefulProcessor):
     """Per node: the last success, and a timer for when it becomes too old."""
 
@@ -334,10 +344,13 @@ def event_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def run_to_table(stream: DataFrame, state: str | None = None, mode: str = "append") -> DataFrame:
-    """Drain what the stream's source holds into a table and read it."""
+def run_to_table(
+    stream: DataFrame, state: str | None = None, mode: str = "append", root: str | None = None
+) -> DataFrame:
+    """Drain what the stream's source holds into a table and read it. The table and
+    the checkpoint lie in `root`, a folder of its own if none is given."""
     spark = stream.sparkSession
-    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    root = root or f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     if state == "rocksdb":
