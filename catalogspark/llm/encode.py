@@ -3,7 +3,7 @@ word encodings.
 
 Both BPE files cut a text at white space before any merge, so the ids of a text
 are the ids of its blank-separated pieces in order. A worker keeps the ids of
-the pieces it has met and asks the library only for new ones, many at a time.
+the pieces it has met and asks the library only for new ones.
 A text in which that cut isn't provably neutral goes to the library whole.
 """
 
@@ -13,7 +13,7 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -24,10 +24,6 @@ CACHE_BYTES = 96 << 20
 PIECE_OVERHEAD = 150
 #: A longer piece isn't remembered.
 PIECE_BYTES = 64
-#: Characters of the texts whose new pieces go to the library together.
-CHARS = 500_000
-#: New pieces in one call to the library.
-CALL = 2_000
 
 _ODD_BLANK = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
 #: Other white space of ASCII, and what the bytes of wider white space begin with.
@@ -57,6 +53,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """Ids of pieces, within CACHE_BYTES; `ids` finds those of others."""
+
+    def __init__(self, ids: Callable[[bytes], bytes]):
+        super().__init__()
+        self.ids, self.older, self.held = ids, {}, 0
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            return self.ids(piece)
+        self.keep(piece, ids)
+        return ids
+
+    def keep(self, piece: bytes, ids: bytes) -> None:
+        self[piece] = ids
+        self.held += len(piece) + len(ids) + PIECE_OVERHEAD
+        if self.held >= CACHE_BYTES // 2:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
+
+
 class Encoder:
     """`encode(texts)` gives for each text its ids as `<u4` bytes, exactly as the
     library gives them with add_special_tokens=False and its other defaults.
@@ -69,9 +88,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.library = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.held = 0
+        self.known = _Known(self._ids)
         # the byte alphabet of byte-level BPE: printable Latin-1 stands for itself
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         other = [b for b in range(256) if b not in set(plain)]
@@ -119,88 +136,32 @@ class Encoder:
             piece = piece[1:] if piece[0] == 32 else piece if piece[0] == 10 else b" " + piece
         return piece.decode()
 
-    def _parts(self, piece: bytes) -> tuple[bytes, ...]:
-        """Pieces whose ids in order are the piece's: marks behind an ASCII letter
-        are encoded on their own."""
-        blanks = self.cut == self._before_blanks
-        if blanks and piece[0] == 10 and len(piece) > 1:
-            return (b"\n", *self._parts(b" " + piece[1:]))
-        word = piece.rstrip(_MARKS)
-        if word[-1:].isalpha() and len(word) < len(piece):
-            marks = piece[len(word) :]
-            return (word, b" " + marks if blanks else marks)
-        return (piece,)
-
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        waiting, chars = [], 0
+        look = self.known.__getitem__
         for text in texts:
-            waiting.append(text or "")
-            chars += len(waiting[-1])
-            if chars >= CHARS:
-                yield from self._encode(waiting)
-                waiting, chars = [], 0
-        yield from self._encode(waiting)
-
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        cuts, seen = [], set()
-        for text in texts:
-            cuts.append(self.cut(text))
-            seen.update(cuts[-1] or ())
-        long = self._learn(seen.difference(self.known))
+            pieces = self.cut(text) if text else []
+            yield self.whole(text) if pieces is None else b"".join(map(look, pieces))
+
+    def _ids(self, piece: bytes) -> bytes:
+        """Ids of a piece that isn't known, which is remembered unless it is long or
+        made of others: a line feed before a word and marks behind an ASCII letter
+        are encoded on their own."""
         known = self.known
-        look = known.__getitem__
-        try:
-            for text, pieces in zip(texts, cuts):
-                yield self.whole(text) if pieces is None else b"".join(map(look, pieces))
-        finally:
-            for piece in long:
-                del known[piece]
-            self._forget()
-
-    def _forget(self) -> None:
-        if self.held >= CACHE_BYTES // 2:
-            self.older, self.known, self.held = self.known, {}, 0
-
-    def _learn(self, new: set[bytes]) -> list[bytes]:
-        """Remember the new pieces; those too long to stay are returned."""
-        known, older = self.known, self.older
-        again = [p for p in new if p in older]
-        for piece in again:
-            known[piece] = older[piece]
-        new.difference_update(again)
-        found, rest, made, ask = {}, [], {}, set()
-        for piece in new:
-            # a line feed before a word and marks behind it are encoded on their own
-            if piece[-1] in _MARKS or piece[0] == 10:
-                made[piece] = parts = self._parts(piece)
-                ask.update(parts)
-            else:
-                ask.add(piece)
-        merge = self._merged
-        for piece in ask.difference(known):
-            ids = merge(piece)
-            if ids is None:
-                rest.append(piece)
-            else:
-                found[piece] = ids
-        for i in range(0, len(rest), CALL):
-            part = rest[i : i + CALL]
-            got = self.library.encode_batch(
-                [[self._text(p) for p in part]], is_pretokenized=True, add_special_tokens=False
-            )[0]
-            ids = np.array(got.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part)), "right") * 4
-            start = 0
-            for piece, end in zip(part, ends.tolist()):
-                found[piece] = ids[start:end]
-                start = end
-        known.update(found)
-        for piece, parts in made.items():
-            if len(parts) > 1:
-                known[piece] = b"".join([known[p] for p in parts])
-        fresh = [*again, *found, *made]
-        self.held += sum(map(len, fresh)) + sum([len(known[p]) for p in fresh]) + PIECE_OVERHEAD * len(fresh)
-        return [piece for piece in {*found, *made} if len(piece) > PIECE_BYTES]
+        blanks = self.cut == self._before_blanks
+        if blanks and piece[0] == 10 and len(piece) > 1:
+            return known[b"\n"] + known[b" " + piece[1:]]
+        if piece[-1] in _MARKS:
+            word = piece.rstrip(_MARKS)
+            if word[-1:].isalpha():
+                marks = piece[len(word) :]
+                return known[word] + known[b" " + marks if blanks else marks]
+        ids = self._merged(piece)
+        if ids is None:
+            got = self.library.encode([self._text(piece)], is_pretokenized=True, add_special_tokens=False)
+            ids = _pack(got.ids)
+        if len(piece) <= PIECE_BYTES:
+            known.keep(piece, ids)
+        return ids
 
     def _merged(self, piece: bytes) -> bytes | None:
         """Ids of a word of Latin letters, one pre-token: the library's merges
