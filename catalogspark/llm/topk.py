@@ -126,28 +126,37 @@ def _key(index):
     return run
 
 
-def _visits(index, rings, k: int, later: bool):
-    """Annuli that each query visits first, or later: those left whose bound
-    reaches the query's k-th best product."""
+def _first(index, rings, k: int):
+    """The annuli that each query visits first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, all_ = index.value, rings.value
         for batch in batches:
-            q = _matrix(batch.column(2).to_pylist(), own.width)
-            bound = own.bounds(q, batch.column(3).to_numpy(), all_)
+            bound = own.bounds(_matrix(batch.column(2).to_pylist(), own.width), batch.column(3).to_numpy(), all_)
             order = np.argsort(-bound, axis=1, kind="stable")
             seen = np.cumsum(all_["n"][order], axis=1) - all_["n"][order]
-            first = np.zeros(bound.shape, bool)
-            np.put_along_axis(first, order, seen < FIRST + k, axis=1)
-            if later:
-                least = batch.column(4).fill_null(-(1 << 63)).to_numpy()
-                go = ~first & (bound >= least[:, None])
-            else:
-                go = first
+            first = [all_["ring"][o[s < FIRST + k]].tolist() for o, s in zip(order, seen)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.list_(pa.int32()))],
+                                             ["q", "query_id", "v", "norm2", "first"])
+
+    return run
+
+
+def _later(index, rings):
+    """The annuli left whose bound reaches the query's k-th best product. Bounds
+    may differ in their last bit between runs, so the first annuli are given."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, all_ = index.value, rings.value
+        for batch in batches:
+            bound = own.bounds(_matrix(batch.column(2).to_pylist(), own.width), batch.column(3).to_numpy(), all_)
+            go = bound >= batch.column(5).to_numpy()[:, None]
+            for i, first in enumerate(batch.column(4).to_pylist()):
+                go[i, np.isin(all_["ring"], first)] = False
             at, ring = np.nonzero(go)
-            rows = batch.take(pa.array(at))
+            rows = batch.select(["q", "query_id", "v", "least"]).take(pa.array(at))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(all_["ring"][ring], pa.int32())],
-                                             ["q", "query_id", "v", "norm2", "least", "ring"])
+                                             ["q", "query_id", "v", "least", "ring"])
 
     return run
 
@@ -173,9 +182,8 @@ def _best(width: int, k: int):
                         take = take[own >= edge]  # ties in the order of ids
                         take = take[np.argsort(-scores[i, take], kind="stable")][:k]
                         own = scores[i, take]
-                if not pd.isna(least[i]):
-                    reach = own >= int(least[i])
-                    take, own = take[reach], own[reach]
+                reach = own >= least[i]
+                take, own = take[reach], own[reach]
                 out["q"] += [q] * len(take)
                 out["query_id"] += [query_id] * len(take)
                 out["vec_id"] += ids[take].tolist()
@@ -219,7 +227,8 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
         .mapInArrow(_key(shared), "row long, vec_id long, v binary, norm2 double, pivot int, distance double")
     )
     steps = [i / RINGS for i in range(1, RINGS)]
-    edges = keyed.groupBy("pivot").agg(F.percentile_approx("distance", steps, 1000).alias("edges"))
+    # worked out once: approximate percentiles may differ from one run to the next
+    edges = cut(keyed.groupBy("pivot").agg(F.percentile_approx("distance", steps, 1000).alias("edges")))
     ringed = keyed.join(F.broadcast(edges), "pivot").withColumn(  # PIVOTS rows
         "ring",
         (F.col("pivot") * RINGS + F.size(F.filter("edges", lambda e: e < F.col("distance")))).cast("int"),
@@ -234,14 +243,12 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
     stored = ringed.select("row", "vec_id", "v", "ring", part("row", parts[F.col("ring")]).alias("part"))
     queries = cut(
         rows.filter((F.col("vec_id") % every == 0) & (F.col("vec_id") != NO_ID))
-        .select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), "v", "norm2", F.lit(None).cast("long").alias("least"))
+        .select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), "v", "norm2")
+        .mapInArrow(_first(shared, shared_rings, k), "q long, query_id long, v binary, norm2 double, first array<int>")
     )
     blocks = max(1, -(-queries.count() // QUERIES))
 
-    def visit(queries: DataFrame, later: bool) -> DataFrame:
-        asked = queries.mapInArrow(
-            _visits(shared, shared_rings, k, later), "q long, query_id long, v binary, norm2 double, least long, ring int"
-        )
+    def visit(asked: DataFrame) -> DataFrame:
         every_part = F.explode(F.sequence(F.lit(0), (parts[F.col("ring")] - 1).cast("int")))
         asked = asked.select("q", "query_id", "v", "least", "ring", part("q", F.lit(blocks)).alias("block"), every_part.alias("part"))
         met = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -251,10 +258,14 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
         )
 
     ranked = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    first = cut(visit(queries, False))
+    visited = queries.select("q", "query_id", "v", F.lit(LOWEST).alias("least"), F.explode("first").alias("ring"))
+    first = cut(visit(visited))
     ranks = first.withColumn("rank", F.row_number().over(ranked))
     least = ranks.filter(F.col("rank") == k).select("q", F.col("score").alias("least"))
-    rest = visit(queries.drop("least").join(least, "q", "left").select("q", "query_id", "v", "norm2", "least"), True)
+    # never null: pandas would turn longs beside nulls into doubles
+    known = F.coalesce("least", F.lit(LOWEST)).alias("least")
+    asked = queries.join(least, "q", "left").select("q", "query_id", "v", "norm2", "first", known)
+    rest = visit(asked.mapInArrow(_later(shared, shared_rings), "q long, query_id long, v binary, least long, ring int"))
     beyond = F.col("score").isin(LOWEST, HIGHEST)
     score = F.when(beyond, F.raise_error(F.lit("a score is beyond a long")).cast("long")).otherwise(F.col("score"))
     return (
