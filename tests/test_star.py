@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from catalogspark.operators import policy
-from catalogspark.sources import star
+from catalogspark.sources import responses, star
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +26,17 @@ def test_policy_sets_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(policy, "cut", lambda df: seen.append(df) or df)
     policy.policy_sets(star.tables(spark, SF))
     assert not _broadcast(seen[0])
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_rendered_once(spark):
+    """Checks that read a body several times don't build it several times, and the
+    newest responses come from one reading."""
+    checked = responses.check_responses(star.responses(spark, SF))
+    plan = _plan(responses.latest_good(checked))
+    assert plan.count("StructsToJsonEvaluator") == 1
+    assert plan.count("parseJson") == 1
+    assert plan.count("Relation [") == 2  # line items and parts
