@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalogspark.operators import policy
+from catalogspark.operators import encode, policy
 from catalogspark.sources import responses, star
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,24 @@ def test_documents_are_rendered_once(spark):
     assert plan.count("StructsToJsonEvaluator") == 1
     assert plan.count("parseJson") == 1
     assert plan.count("Relation [") == 2  # line items and parts
+
+
+def _broadcasts(df) -> list[str]:
+    """The plans below broadcasts, as text."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    found = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            found.append("\n".join(lines[i:end]))
+    return found
+
+
+def test_encoding_broadcasts_catalogs_alone(spark):
+    """Datasets, services and groups grow with the tables; one IRI a catalog doesn't."""
+    for variant in ("", "groups"):
+        below = _broadcasts(encode.encode(star.tables(spark, SF, variant)))
+        assert below
+        for plan in below:
+            assert not any(c in plan for c in ("p_partkey", "s_suppkey", "l_suppkey")), plan
