@@ -174,7 +174,8 @@ def dataset_offers(tables: CatalogTables) -> DataFrame:
             F.struct(F.coalesce(prop("thumbnail"), F.lit("")).alias("resource")).alias("thumbnail"),
         ),
     )
-    return tables.datasets.join(first, DATASET_KEY, "left").select(
+    # as long as datasets, like the policies' texts below
+    return tables.datasets.join(first.hint("merge"), DATASET_KEY, "left").select(
         *DATASET_KEY,
         "idx",
         F.col("dataset_id").alias("name"),
@@ -233,7 +234,7 @@ def offers(tables: CatalogTables, page_size: int = PAGE, ns: Namespace = NS) ->
     )
     pages = (
         dataset_offers(tables)
-        .join(policy_texts(tables, ns), DATASET_KEY, "left")
+        .join(policy_texts(tables, ns).hint("merge"), DATASET_KEY, "left")
         .select("node_id", F.floor(F.col("idx") / page_size).alias("page"),
                 F.struct("idx", item.alias("text")).alias("item"))
         .groupBy("node_id", "page")
