@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from catalogspark.operators import encode, policy
+from pyspark.sql import functions as F
+
+from catalogspark.operators import encode, offers, pattern, policy, visibility
 from catalogspark.sources import responses, star
+from tests.build import canonical
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +64,26 @@ def test_encoding_broadcasts_catalogs_alone(spark):
         assert below
         for plan in below:
             assert not any(c in plan for c in ("p_partkey", "s_suppkey", "l_suppkey")), plan
+
+
+def test_offers_and_views_do_not_broadcast_datasets(spark):
+    """What is kept of datasets and services, and what is joined to each dataset."""
+    tables = star.tables(spark, SF)
+    visible = tables.datasets.filter("idx % 2 = 0")
+    shown = visibility.filter_catalogs(tables, visible)
+    for df in (shown.datasets, shown.distributions, shown.services, shown.constraints, offers.dataset_offers(tables)):
+        assert not _broadcasts(df)
+    sets = visibility.service_sets(tables, visible.withColumn("policy_set", F.lit("x")))
+    assert not _broadcasts(sets)
+
+
+def test_long_solutions_are_not_broadcast(spark, monkeypatch):
+    """Solutions joined by masks are counted, and hinted when they are many."""
+    value = lambda n: pattern.literal_term((F.col("id") % n).cast("string"))
+    rows = spark.range(60).select(value(20).alias("x"), F.when(F.col("id") % 3 > 0, value(7)).alias("a"))
+    side = pattern.Solutions(rows, frozenset({"a"}))
+    short = side.join(side).df
+    monkeypatch.setattr(pattern, "LONG", 10)
+    long = side.join(side).df
+    assert _broadcasts(short) and not _broadcasts(long)
+    assert canonical(short) == canonical(long)
