@@ -29,6 +29,9 @@ NUMERIC = [
     for t in ("integer", "decimal", "double", "float", "int", "long")
 ]
 
+#: More solutions than this are never broadcast where they are counted.
+LONG = 100_000
+
 
 class TooManyRows(ValueError):
     """A result larger than its row cap; results are never cut silently."""
@@ -177,20 +180,20 @@ class Solutions:
     def _split(self, shared: list[str]) -> list[tuple[list[str], DataFrame]]:
         """(bound variables, rows) for each way the shared variables are bound that
         occurs, so that compatibility is an equality again. Rows whose shared
-        variables may be unbound are written once, with a mask of those bound."""
+        variables may be unbound are written once, with a mask of those bound. Long
+        ones are not broadcast, however small their columns are as files."""
         loose = [v for v in shared if v in self.maybe]
         if not loose:
             return [(shared, self.df)]
         mask = reduce(lambda a, b: a + b, [F.when(F.col(v).isNotNull(), 1 << i).otherwise(0) for i, v in enumerate(loose)])
         written = cut(self.df.withColumn("_mask", mask))
-        found = sorted(row[0] for row in written.select("_mask").distinct().collect()) or [0]
-        return [
-            (
-                [v for v in shared if v not in loose or m >> loose.index(v) & 1],
-                written.filter(F.col("_mask") == m).drop("_mask"),
-            )
-            for m in found
-        ]
+        found = sorted(tuple(row) for row in written.groupBy("_mask").count().collect()) or [(0, 0)]
+
+        def rows(mask: int, n: int) -> DataFrame:
+            held = written.filter(F.col("_mask") == mask).drop("_mask")
+            return held.hint("merge") if n > LONG else held
+
+        return [([v for v in shared if v not in loose or m >> loose.index(v) & 1], rows(m, n)) for m, n in found]
 
     def join(self, other: Solutions) -> Solutions:
         """Every pair of compatible solutions. Patterns that share no variable are
