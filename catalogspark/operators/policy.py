@@ -88,7 +88,7 @@ class Entitlements:
         found = opened.join(self.groups, ["operands", "projection"]).select("caller_group", *key)
         if resources is not self.members:
             found = found.distinct()
-        return found.join(self.callers, "caller_group").select("class_key", *key)
+        return found.join(self.callers.hint("merge"), "caller_group").select("class_key", *key)
 
     def visible(self) -> DataFrame:
         """(class_key, node_id, dataset_id) of everything each class may see."""
@@ -105,7 +105,7 @@ class Entitlements:
             .join(self.groups, ["operands", "projection"])
             .groupBy("caller_group", *groups)
             .agg(F.sum("n").alias("n_visible"))
-            .join(self.callers, "caller_group")
+            .join(self.callers.hint("merge"), "caller_group")  # as many as classes
             .select("class_key", *groups, "n_visible")
         )
 
@@ -255,7 +255,7 @@ def _project(classes: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFra
     none = F.array().cast("array<struct<key:string,value:array<string>>>")
     grouped = cut(
         classes.select("class_key")
-        .join(kept, "class_key", "left")
+        .join(kept.hint("merge"), "class_key", "left")  # as many as classes
         .withColumn("kept", F.coalesce("kept", none))
         .withColumn("caller_group", F.sha2(F.to_json("kept"), 256))
     )

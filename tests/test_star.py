@@ -87,3 +87,15 @@ def test_long_solutions_are_not_broadcast(spark, monkeypatch):
     long = side.join(side).df
     assert _broadcasts(short) and not _broadcasts(long)
     assert canonical(short) == canonical(long)
+
+
+def test_callers_are_not_broadcast(spark, monkeypatch):
+    """Every customer may be a class of its own; their groups are few."""
+    seen = []
+    cut = policy.cut
+    monkeypatch.setattr(policy, "cut", lambda df: seen.append(df) or cut(df))
+    rows = star.read(spark, SF, "customer")
+    classes = rows.selectExpr("c_name AS class_key", "map('segment', array(c_mktsegment)) AS claims")
+    found = policy.entitle(star.tables(spark, SF), classes).count_by_class()
+    for df in [found, *(df for df in seen if "class_key" in df.columns)]:
+        assert not any("class_key" in plan for plan in _broadcasts(df))
