@@ -7,7 +7,7 @@ unbound variable is null. Names written '?x' are variables, other strings IRIs,
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -555,7 +555,14 @@ class Graph:
         if kind == "^":
             return self._edges(parts[0]).select(F.col("b").alias("a"), F.col("a").alias("b"))
         if kind == "|":
-            return reduce(lambda x, y: x.unionByName(y), [self._edges(p) for p in parts])
+            plain = list(dict.fromkeys(p for p in parts if isinstance(p, str)))  # from one reading
+            found = [self._edges(p) for i, p in enumerate(parts) if p not in plain or p in parts[:i]]
+            if plain:
+                df = self.quads.filter(F.col("p").isin(plain))
+                if "p_part" in df.columns:
+                    df = df.filter(F.col("p_part").isin([predicate_part(p) for p in plain]))
+                found.append(replace(self, quads=df).match("?a", "?_p", "?b").df.select("a", "b"))
+            return reduce(lambda x, y: x.unionByName(y), found)
         if kind == "/":
             out = self._edges(parts[0])
             for part in parts[1:]:
@@ -579,11 +586,12 @@ class Graph:
         """A path without repetition between two terms or variables."""
         return _ends(self._edges(path), s, o)
 
-    def reach(self, path) -> Reach:
+    def reach(self, path, isolated: bool = True) -> Reach:
         """What each node of the graph reaches along `path`, as labels: components
         of nodes that reach each other, their places, and the spans of places that
-        each reaches. Pairs are spelled out by its `pairs` alone."""
-        return reach(self._edges(path), self._loops().select(F.col("a").alias("node")))
+        each reaches. Pairs are spelled out by its `pairs` alone. Without `isolated`,
+        nodes that no edge of the path ends at are left out: they reach nothing."""
+        return reach(self._edges(path), self._loops().select(F.col("a").alias("node")) if isolated else None)
 
     def closure(self, s, path, o, zero: bool = True, starts: DataFrame | None = None) -> Solutions:
         """`path*` (or `path+` without `zero`): reachable pairs, each once.

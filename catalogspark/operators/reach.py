@@ -7,7 +7,8 @@ reaches the nodes whose component's place is in a span of its own component: a
 table of members, one of places and one of spans, instead of all pairs.
 
 Rounds go on until nothing changes, each over tables written to the shared folder;
-none looks at single nodes. Trimming, colours and levels take about as many rounds
+none looks at single nodes. These tables are short as files and long as rows, so they
+are joined by merges, never broadcast. Trimming, colours and levels take about as many rounds
 as the longest path between components has steps.
 """
 
@@ -60,7 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
     while left:
         for _ in range(PEELS):
             ins, outs = live.select(F.col("b").alias("a")).distinct(), live.select(F.col("a").alias("b")).distinct()
-            live = cut(live.join(ins, "a", "left_semi").join(outs, "b", "left_semi").select("a", "b"))
+            live = cut(live.join(ins.hint("merge"), "a", "left_semi").join(outs.hint("merge"), "b", "left_semi").select("a", "b"))
             before, left = left, live.count()
             if left == before or not left:
                 break
@@ -69,22 +70,22 @@ def components(edges: DataFrame) -> DataFrame:
         color = live.select(F.col("a").alias("node")).union(live.select("b")).distinct().withColumn("color", F.col("node"))
         color = fresh = cut(color)
         while not fresh.isEmpty():
-            step = live.join(fresh.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("color").alias("new"))
-            moved = cut(color.join(step, "node", "left").withColumn("fresh", F.coalesce(F.col("new") < F.col("color"), F.lit(False))).select(
+            step = live.join(fresh.withColumnRenamed("node", "a").hint("merge"), "a").groupBy(F.col("b").alias("node")).agg(F.min("color").alias("new"))
+            moved = cut(color.join(step.hint("merge"), "node", "left").withColumn("fresh", F.coalesce(F.col("new") < F.col("color"), F.lit(False))).select(
                 "node", F.when(F.col("fresh"), F.col("new")).otherwise(F.col("color")).alias("color"), "fresh"
             ))
             color, fresh = moved.select("node", "color"), moved.filter("fresh").select("node", "color")
         inner = (
-            live.join(color.select(F.col("node").alias("a"), F.col("color").alias("ca")), "a")
-            .join(color.select(F.col("node").alias("b"), F.col("color").alias("cb")), "b").filter("ca = cb")
+            live.join(color.select(F.col("node").alias("a"), F.col("color").alias("ca")).hint("merge"), "a")
+            .join(color.select(F.col("node").alias("b"), F.col("color").alias("cb")).hint("merge"), "b").filter("ca = cb")
         )
         inner = cut(inner.select("a", "b"))
         front = cut(color.filter("node = color"))
         parts = [front]
         while not front.isEmpty():
-            step = inner.join(front.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "color").distinct()
+            step = inner.join(front.withColumnRenamed("node", "b").hint("merge"), "b").select(F.col("a").alias("node"), "color").distinct()
             for part in parts:
-                step = step.join(part, "node", "left_anti")
+                step = step.join(part.hint("merge"), "node", "left_anti")
             front = cut(step)
             parts.append(front)
             if len(parts) > 6:
@@ -93,8 +94,8 @@ def components(edges: DataFrame) -> DataFrame:
         found.append(own.withColumnRenamed("color", "component"))
         gone = own.select("node")
         live = cut(
-            live.join(gone.withColumnRenamed("node", "a"), "a", "left_anti")
-            .join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
+            live.join(gone.withColumnRenamed("node", "a").hint("merge"), "a", "left_anti")
+            .join(gone.withColumnRenamed("node", "b").hint("merge"), "b", "left_anti").select("a", "b")
         )
         left = live.count()
     if not found:
@@ -102,7 +103,7 @@ def components(edges: DataFrame) -> DataFrame:
     named = _union(found)
     # a component of one node isn't on a cycle
     several = named.groupBy("component").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    return cut(named.join(several, "component").select("node", F.col("least").alias("component")))
+    return cut(named.join(several.hint("merge"), "component").select("node", F.col("least").alias("component")))
 
 
 @dataclass(frozen=True)
@@ -120,12 +121,12 @@ class Reach:
         """(node, n): how many nodes each node reaches, found by the sums of members
         before the ends of its spans. `zero`: by no step, too."""
         size = self.members.groupBy("component").agg(F.count("*").alias("size"))
-        sums = cut(running(self.places.join(size, "component").select("place", "size"), "size", "place"))
+        sums = cut(running(self.places.join(size.hint("merge"), "component").select("place", "size"), "size", "place"))
         low = sums.select(F.col("place").alias("low"), F.col("before").alias("from"))
         high = sums.select(F.col("place").alias("high"), (F.col("before") + F.col("size")).alias("to"))
-        reached = self.spans.join(low, "low").join(high, "high").groupBy("component").agg(F.sum(F.col("to") - F.col("from")).alias("n"))
+        reached = self.spans.join(low.hint("merge"), "low").join(high.hint("merge"), "high").groupBy("component").agg(F.sum(F.col("to") - F.col("from")).alias("n"))
         n = F.col("n") if zero else F.when(F.col("cyclic"), F.col("n")).otherwise(F.col("n") - 1)
-        return self.members.join(reached, "component").select("node", n.cast("long").alias("n"))
+        return self.members.join(reached.hint("merge"), "component").select("node", n.cast("long").alias("n"))
 
     def reaches(self, pairs: DataFrame, zero: bool = True) -> DataFrame:
         """Those of the pairs (a, b) of which a reaches b."""
@@ -156,53 +157,75 @@ class Reach:
         return self.members.join(least, "component").select("node", "least")
 
 
-def reach(edges: DataFrame, nodes: DataFrame | None = None) -> Reach:
-    """Labels of the edges (a, b), of any one type that can be ordered. `nodes`
-    (node) may add some without edges. Repeated edges are one, null ends none."""
-    edges = edges.select("a", "b").filter(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct()
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b"))
+def _hash(node: Column) -> Column:
+    return F.xxhash64(node)
+
+
+def _ids(edges: DataFrame, nodes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """-> (node, id) of all nodes, and the edges between ids. A node's id is its hash;
+    where any two nodes share one, all are numbered instead and joined to the edges."""
+    held = F.col("a").isNotNull() & F.col("b").isNotNull()
+    edges = cut(edges.select("a", "b").filter(held).withColumns({"ia": _hash(F.col("a")), "ib": _hash(F.col("b"))}))
+    ends = edges.select(F.col("a").alias("node"), F.col("ia").alias("id")).union(edges.select("b", "ib"))
     if nodes is not None:
-        ends = ends.union(nodes.select("node").filter(F.col("node").isNotNull()))
-    named = cut(ends.distinct().withColumn("id", F.monotonically_increasing_id()))
-    short = cut(
-        edges.join(named.select(F.col("node").alias("a"), F.col("id").alias("ia")), "a")
+        ends = ends.union(nodes.filter(F.col("node").isNotNull()).select("node", _hash(F.col("node"))))
+    named = cut(ends.distinct())
+    if named.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return named, cut(edges.select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct())
+    named = cut(named.select("node").withColumn("id", F.monotonically_increasing_id()))
+    short = (
+        edges.select("a", "b").distinct()
+        .join(named.select(F.col("node").alias("a"), F.col("id").alias("ia")), "a")
         .join(named.select(F.col("node").alias("b"), F.col("id").alias("ib")), "b")
-        .select(F.col("ia").alias("a"), F.col("ib").alias("b"))
     )
+    return named, cut(short.select(F.col("ia").alias("a"), F.col("ib").alias("b")))
+
+
+def reach(edges: DataFrame, nodes: DataFrame | None = None) -> Reach:
+    """Labels of the edges (a, b), of any one type that can be ordered. `nodes`
+    (node) may add some without edges. Repeated edges are one, null ends none."""
+    named, short = _ids(edges, nodes)
     joint = components(short).withColumnRenamed("node", "id")
     loops = short.filter("a = b").select(F.col("a").alias("id"), F.lit(True).alias("_loop"))
+    if joint.isEmpty() and loops.isEmpty():  # every node is a component
+        return _labels(named.select("node", F.col("id").alias("component"), F.lit(False).alias("cyclic")), short)
     members = cut(
-        named.join(joint, "id", "left").join(loops, "id", "left").select(
+        named.join(joint.hint("merge"), "id", "left").join(loops.hint("merge"), "id", "left").select(
             "node", "id", F.coalesce("component", "id").alias("component"),
             (F.col("component").isNotNull() | F.col("_loop").isNotNull()).alias("cyclic"),
         )
     )
     to = members.select("id", "component")
     acyclic = cut(
-        short.join(to.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
-        .join(to.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+        short.join(to.select(F.col("id").alias("a"), F.col("component").alias("ca")).hint("merge"), "a")
+        .join(to.select(F.col("id").alias("b"), F.col("component").alias("cb")).hint("merge"), "b")
         .filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     )
+    return _labels(members.drop("id"), acyclic)
+
+
+def _labels(members: DataFrame, acyclic: DataFrame) -> Reach:
+    """Labels of the members, with the edges between their components."""
     spans = cut(_numbered(acyclic, members.select("component").distinct()))
-    return Reach(members.drop("id"), cut(spans.select("component", F.col("low").alias("place"))), _all_spans(spans, acyclic))
+    return Reach(members, cut(spans.select("component", F.col("low").alias("place"))), _all_spans(spans, acyclic))
 
 
 def _numbered(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(component, low, high) of each component in a forest that takes one edge into
     each: its own place and the last one below it."""
     parent = edges.groupBy(F.col("b").alias("component")).agg(F.min("a").alias("parent"))
-    tree = cut(nodes.join(parent, "component", "left"))
+    tree = cut(nodes.join(parent.hint("merge"), "component", "left"))
     levels = [cut(tree.filter("parent is null").select("component", F.lit(None).cast("long").alias("parent")))]
     while not levels[-1].isEmpty():
         above = levels[-1].select(F.col("component").alias("parent"))
-        levels.append(cut(tree.join(above, "parent").select("component", "parent")))
+        levels.append(cut(tree.join(above.hint("merge"), "parent").select("component", "parent")))
     levels.pop()
     sizes, below = [], None
     for level in reversed(levels):
         sized = level.withColumn("size", F.lit(1).cast("long"))
         if below is not None:
             sums = below.groupBy(F.col("parent").alias("component")).agg(F.sum("size").alias("more"))
-            sized = level.join(sums, "component", "left").select(
+            sized = level.join(sums.hint("merge"), "component", "left").select(
                 "component", "parent", (F.lit(1) + F.coalesce("more", F.lit(0))).cast("long").alias("size")
             )
         below = cut(sized)
@@ -213,12 +236,12 @@ def _numbered(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     order = running(_union(sizes).withColumn("_root", F.col("parent").isNotNull()), "size", "_root", "parent", "component")
     order = cut(order.drop("_root"))
     first = order.filter("parent is not null").groupBy("parent").agg(F.min("before").alias("first"))
-    shift = order.join(first, "parent", "left").select("component", "parent", "size", "before", "first")
+    shift = order.join(first.hint("merge"), "parent", "left").select("component", "parent", "size", "before", "first")
     shift = cut(shift)
     done = [cut(shift.filter("parent is null").select("component", "size", F.col("before").alias("low")))]
     for _ in levels[1:]:
         above = done[-1].select(F.col("component").alias("parent"), F.col("low").alias("base"))
-        done.append(cut(shift.join(above, "parent").select(
+        done.append(cut(shift.join(above.hint("merge"), "parent").select(
             "component", "size", (F.col("base") + 1 + F.col("before") - F.col("first")).alias("low")
         )))
     return _union(done).select("component", "low", (F.col("low") + F.col("size") - 1).alias("high"))
@@ -233,10 +256,10 @@ def _all_spans(own: DataFrame, edges: DataFrame) -> DataFrame:
     against the edges until none is new. Spans hold each other or are apart."""
     parts, fresh = [own], own
     while True:
-        carried = edges.join(fresh.withColumnRenamed("component", "b"), "b").select(F.col("a").alias("component"), "low", "high").distinct()
+        carried = edges.join(fresh.withColumnRenamed("component", "b").hint("merge"), "b").select(F.col("a").alias("component"), "low", "high").distinct()
         for part in parts:
             met = (F.col("n.component") == F.col("p.component")) & _within("p")
-            carried = carried.alias("n").join(part.alias("p"), met, "left_anti")
+            carried = carried.alias("n").join(part.hint("merge").alias("p"), met, "left_anti")
         fresh = cut(carried.select("component", "low", "high"))
         if fresh.isEmpty():
             break

@@ -84,3 +84,23 @@ def test_running_sums(spark):
     for _, v, before in rows:
         assert before == total
         total += v
+
+
+def test_nodes_that_share_a_hash(spark, monkeypatch):
+    """Ids are hashes; where two nodes have the same one, all are numbered."""
+    monkeypatch.setattr(R, "_hash", lambda node: F.pmod(F.xxhash64(node), F.lit(7)))
+    check(spark, random_edges(2, 30, 40, False), ["alone"])
+    check(spark, random_edges(1, 25, 45, True), ["alone"])
+
+
+def test_labels_join_no_nodes_by_text(spark, monkeypatch):
+    """Nodes get short ids where they are read; none is looked up or broadcast."""
+    seen = []
+    cut = R.cut
+    monkeypatch.setattr(R, "cut", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    edges = spark.createDataFrame(random_edges(1, 25, 45, True), "a string, b string")
+    sums = R.reach(edges).counts(zero=False)
+    assert not any("Join" in plan and "node#" in plan for plan in seen)
+    assert not any("BroadcastExchange" in plan and "_base" not in plan for plan in seen)
+    want = {n: sum(a == n for a, _ in pairs) for pairs, names in [closure(random_edges(1, 25, 45, True))] for n in names}
+    assert {r.node: r.n for r in sums.collect()} == want
