@@ -165,11 +165,11 @@ def _ids(edges: DataFrame, nodes: DataFrame | None) -> tuple[DataFrame, DataFram
     """-> (node, id) of all nodes, and the edges between ids. A node's id is its hash;
     where any two nodes share one, all are numbered instead and joined to the edges."""
     held = F.col("a").isNotNull() & F.col("b").isNotNull()
-    edges = cut(edges.select("a", "b").filter(held).withColumns({"ia": _hash(F.col("a")), "ib": _hash(F.col("b"))}))
+    edges = cut(edges.select("a", "b").filter(held).withColumns({"ia": _hash(F.col("a")), "ib": _hash(F.col("b"))}), "zstd")
     ends = edges.select(F.col("a").alias("node"), F.col("ia").alias("id")).union(edges.select("b", "ib"))
     if nodes is not None:
         ends = ends.union(nodes.filter(F.col("node").isNotNull()).select("node", _hash(F.col("node"))))
-    named = cut(ends.distinct())
+    named = cut(ends.distinct(), "zstd")
     if named.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return named, cut(edges.select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct())
     named = cut(named.select("node").withColumn("id", F.monotonically_increasing_id()))
