@@ -8,7 +8,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from catalogspark.functions import iri
-from catalogspark.schema import DCAT, NS, QUADS, RDF_TYPE, XSD_STRING
+from catalogspark.operators import views, visibility
+from catalogspark.schema import DCAT, NS, QUADS, RDF_TYPE, XSD_STRING, Namespace
 from catalogspark.session import CLEANUP, checkpoint_root, cut
 from catalogspark.sources import quads as Q
 
@@ -50,3 +51,48 @@ def test_quads_are_stored_compressed(spark):
     assert _codecs(f"{path}/quads") == _codecs(f"{path}/clustered") == {"ZSTD"}
     assert _codecs(cut(quads, "zstd").inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]) == {"ZSTD"}
     spark.sql("DROP TABLE compressed_quads")
+
+
+def _owned(spark):
+    return _quads(
+        spark,
+        (f"{BASE}/datasets/a", "urn:p", "1", "literal"),
+        (f"{BASE}/datasets/b", "urn:p", "2", "literal"),
+        (f"{BASE}/datasets/a/distributions/0", DCAT + "accessService", f"{BASE}/services/s", "iri"),
+        (f"{BASE}/datasets/a/distributions/1", DCAT + "accessService", f"{BASE}/services/t", "iri"),
+        (f"{BASE}/catalogs/c", DCAT + "dataset", f"{BASE}/datasets/a", "iri"),
+        (f"{BASE}/catalogs/c", DCAT + "dataset", f"{BASE}/datasets/b", "iri"),
+        (f"{BASE}/catalogs/c", "urn:p", "3", "literal"),
+        ("urn:other", "urn:p", "urn:else", "iri"),
+    )
+
+
+def test_owners_are_looked_up_without_a_broadcast(spark):
+    quads = _owned(spark)
+    allowed = cut(spark.createDataFrame([(f"{BASE}/datasets/a",), (f"{BASE}/services/s",), (None,)], "iri string"))
+    shown = visibility.visible_quads(quads, allowed)
+    assert "BroadcastHashJoin" not in _plan(shown)
+    want = {
+        (f"{BASE}/datasets/a", "1"), (f"{BASE}/datasets/a/distributions/0", f"{BASE}/services/s"),
+        (f"{BASE}/catalogs/c", f"{BASE}/datasets/a"), (f"{BASE}/catalogs/c", "3"), ("urn:other", "urn:else"),
+    }
+    assert sorted((r.s, r.o) for r in shown.collect()) == sorted(want)
+    masks = views.Masks(None, None, cut(spark.createDataFrame([(f"{BASE}/datasets/a", "m"), (f"{BASE}/services/s", "k")], "iri string, mask string")))
+    viewed = views.view_quads(quads, masks)
+    assert "BroadcastHashJoin" not in _plan(viewed)
+    assert {(r.s, r.o): r.view for r in viewed.collect()} == dict(zip(sorted(want), ["", "m", "m", "k&m", ""], strict=True))
+
+
+def test_owner_is_found_without_splitting(spark):
+    for ns in (NS, Namespace(nodes="urn:node:"), Namespace(nodes="http://a/b")):
+        n = ns.nodes
+        want = {
+            None: None, "": None, n: None, n + "a": None, n + "a/": n + "a/", n + "a/catalogs": None, n + "catalogs": None,
+            n + "datasets": None, n + "a/catalogs/c/d": None, n + "a/datasets": n + "a/datasets", n + "a/datasets/": n + "a/datasets/",
+            n + "a/datasets/d": n + "a/datasets/d", n + "a/datasets/d/policies/0": n + "a/datasets/d",
+            n + "a/services/s/x": n + "a/services/s", n + "a/xdatasets/d": n + "a/xdatasets/d", n + "a/b/datasets/d": n + "a/b/datasets/d",
+            "urn:else/datasets/d/e": None,
+        }
+        df = spark.createDataFrame([(k,) for k in want], "i string").select("i", iri.owning_resource(F.col("i"), ns).alias("own"))
+        assert "split" not in _plan(df)
+        assert {r.i: r.own for r in df.collect()} == want
