@@ -14,11 +14,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalogspark.operators.keys import HASH, hashed, join_hashed
 
 def characteristic_sets(quads: DataFrame) -> DataFrame:
     """(predicates, n_subjects, n_quads): the sets of predicates that subjects have."""
-    by_predicate = quads.groupBy("s", "p").agg(F.count("*").alias("n"))
-    by_subject = by_predicate.groupBy("s").agg(F.sort_array(F.collect_set("p")).alias("predicates"), F.sum("n").alias("n"))
+    # once by subject: one exchange, and none over the layout bucketed by it
+    by_subject = hashed(quads.select("s", "p"), ["s"]).groupBy(HASH, "s").agg(F.sort_array(F.collect_set("p")).alias("predicates"), F.count("*").alias("n"))
     return by_subject.groupBy("predicates").agg(F.count("*").alias("n_subjects"), F.sum("n").cast("long").alias("n_quads"))
 
 
@@ -64,7 +65,8 @@ def sizes(sets: DataFrame | None, found: list[Star]) -> list[int]:
 
 
 def star_rows(graph, star: Star) -> DataFrame:
-    """(_subject, a term column for each object variable): the star's solutions."""
+    """(_subject, a term column for each object variable): the star's solutions. Files
+    of one predicate are small beside their rows, so none is broadcast."""
     out, names = None, []
     subject = F.col("s").alias("_subject")
     # fixed objects first: they leave the fewest subjects
@@ -78,7 +80,7 @@ def star_rows(graph, star: Star) -> DataFrame:
         else:
             name = o[1:]
             rows = rows.select(subject, graph.object_term().alias("_object" if name in names else name))
-        out = rows if out is None else out.join(rows, "_subject")
+        out = rows if out is None else out.join(rows.hint("merge"), "_subject")
         if name in names:
             out = out.filter(F.col(name) == F.col("_object")).drop("_object")
         elif name:
@@ -130,14 +132,14 @@ def solve(graph, triples: tuple[tuple, ...], iri_term, refuse) -> DataFrame:
             rows = star_rows(graph, best)
             again = [n for n in rows.columns if n in names]
             rows = rows.withColumnsRenamed({n: f"_again_{n}" for n in again})
-            joined = out.withColumn("_at", _iri(F.col(best.subject[1:]))).join(rows, F.col("_at") == F.col("_subject"))
+            joined = out.withColumn("_at", _iri(F.col(best.subject[1:]))).join(rows.hint("merge"), F.col("_at") == F.col("_subject"))
             for n in again:
                 joined = joined.filter(F.col(n) == F.col(f"_again_{n}"))
             add(joined.drop("_at", "_subject", *[f"_again_{n}" for n in again]), own)
             continue
         rows = plain(best) if isinstance(best, Star) else graph.match(*best).df
         shared = [n for n in own if n in names]
-        add(rows if how == "first" else out.join(rows, shared), own)
+        add(rows if how == "first" else join_hashed(out, rows.hint("merge"), shared), own)
     return out.select(*_names([term for triple in triples for term in triple]))
 
 

@@ -65,7 +65,7 @@ def predicate_part(p: str) -> str:
 
 
 def _predicate_part(p: Column) -> Column:
-    local = F.regexp_extract(p, "([^/#]*)$", 1)
+    local = F.substring_index(F.substring_index(p, "/", -1), "#", -1)
     known = F.lit(False)
     for prefix in VOCABULARIES:
         known = known | F.startswith(p, F.lit(prefix))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions import iri
 from catalogspark.operators import views, visibility
+from catalogspark.operators.bgp import characteristic_sets
+from catalogspark.operators.pattern import Graph
 from catalogspark.schema import DCAT, NS, QUADS, RDF_TYPE, XSD_STRING, Namespace
 from catalogspark.session import CLEANUP, checkpoint_root, cut
 from catalogspark.sources import quads as Q
@@ -96,3 +98,23 @@ def test_owner_is_found_without_splitting(spark):
         df = spark.createDataFrame([(k,) for k in want], "i string").select("i", iri.owning_resource(F.col("i"), ns).alias("own"))
         assert "split" not in _plan(df)
         assert {r.i: r.own for r in df.collect()} == want
+
+
+def test_predicates_get_their_folder_without_a_pattern(spark):
+    cases = {RDF_TYPE: "type", DCAT + "dataset": "dataset", DCAT: "other", "urn:x#dataset": "other", DCAT + "a/b": "b", None: "other"}
+    df = spark.createDataFrame([(k,) for k in cases], "p string").select("p", Q._predicate_part(F.col("p")).alias("part"))
+    assert "regexp" not in _plan(df)
+    assert {r.p: r.part for r in df.collect()} == cases
+
+
+def test_characteristic_sets_deal_subjects_once(spark):
+    sets = characteristic_sets(_quads(spark, ("urn:a", "urn:p", "1", "literal"), ("urn:a", "urn:p", "2", "literal"), ("urn:a", "urn:q", "1", "literal"), ("urn:b", "urn:p", "1", "literal")))
+    assert _plan(sets).count("Exchange hashpartitioning") == 2
+    assert {(*r.predicates, r.n_subjects, r.n_quads) for r in sets.collect()} == {("urn:p", "urn:q", 1, 3), ("urn:p", 1, 1)}
+
+
+def test_stars_are_not_broadcast(spark):
+    rows = [(f"urn:{i}", p, f"urn:{i % 3}", "iri") for i in range(9) for p in ("urn:p", "urn:q")]
+    found = Graph(cut(_quads(spark, *rows))).patterns(("?a", "urn:p", "?b"), ("?a", "urn:q", "?c"), ("?b", "urn:p", "?d"))
+    assert "Broadcast" not in _plan(found.df)
+    assert found.df.count() == 9
