@@ -268,7 +268,8 @@ def write_warc(
     named = cut(written).repartition(parts, "name").mapInArrow(_rename(folder), MANIFEST)
     named.write.parquet(f"{folder}/manifest")
     _discard(f"{folder}/_temporary")
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    # dealt by temporary names above, which differ from run to run
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("shard", "number")
 
 
 def _discard(folder: str) -> None:
